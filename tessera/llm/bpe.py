@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ class Transducer:
     """Encodes byte strings by ``ranks``.  ``max_states`` bounds the tables; they are
     started anew when full, which costs time but never changes a result."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(len(t))}
@@ -191,25 +192,32 @@ class Transducer:
 
 class Encoder(dict):
     """Encodes texts: each match of ``pattern`` separately.  The dictionary keeps the
-    packed ids of short pieces (``max_pieces`` at most)."""
+    packed ids of short pieces.  Two generations of ``max_pieces`` each bound it: a full
+    one becomes the old one, and pieces met again come back from there."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, max_pieces: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, max_pieces: int = 400_000):
         super().__init__()
-        self.transducer, self.max_pieces = Transducer(ranks), max_pieces
-        self.find = regex.compile(pattern).finditer
+        self.transducer, self.max_pieces, self.old = Transducer(ranks), max_pieces, {}
         self.findall = regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.transducer.piece(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        packed = self.old.get(piece)
+        if packed is None:
+            packed = array("I", self.transducer.piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= 40:
             if len(self) >= self.max_pieces:
+                self.old = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
 
     def packed(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.__getitem__, self.findall(text)))
+        pieces = self.findall(text)
+        found = list(map(self.get, pieces))
+        if None in found:
+            found = [self[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
+        return b"".join(found)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
