@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -115,3 +116,13 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs whose frames are out of use.
+
+    Spark drops them when the driver's garbage is collected, which by itself may be long
+    after; a job of several large steps would meanwhile hold the files of all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
