@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, simhash, substring_dedup
+from tessera.llm import bpe, exact_dedup, language, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
+def remainder(n: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the identifier as text, modulo n: which rows are held out."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs, remainder(3) != 1))
+    held = F.coalesce(remainder(3) == 1, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_documents(table(spark, sf_dir, "documents"))
 
@@ -36,6 +49,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    held = F.coalesce(remainder(5) == 0, F.lit(False))
+    return toxicity.score_documents(docs, machine).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 #: Of equal normalised texts the smallest identifier stays.
 EXACT_DEDUP_SQL = r"""
 WITH n AS (
@@ -50,9 +70,11 @@ FROM n
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
+        "op3_language": op3_language,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_substring_dedup": op5_substring_dedup,
         "op8_simhash": op8_simhash,
+        "op9_toxicity": op9_toxicity,
     }
 
 
