@@ -199,25 +199,25 @@ class Shard:
         return self.points[which], self.points[self.group[which]]
 
 
-def links(points: DataFrame, radius: int, sample: int = 20_000, shard_rows: int = 8_192, max_depth: int = 8) -> DataFrame:
+def links(points: DataFrame, radius: int, sample: int = 20_000, depth: int = 6, most: int = 2_000_000) -> DataFrame:
     """A spanning forest, shard by shard, of all links between the values in ``fp``.
 
-    ``sample`` values, the smallest by a hash, fit the upper tree (nothing else is drawn
-    from them).  A shard whose points can't be cut further, such as one dense group, is
-    dealt by a hash into parts of about ``shard_rows``; queries visit each part.
+    ``sample`` values, the smallest by a hash, fit the upper tree of ``2 ** depth`` shards
+    (nothing else is drawn from them).  The depth is set by the cluster, not by the data:
+    each cut makes points visit more shards, so with a fixed depth what is shuffled grows
+    in proportion to the points.  A shard expected to hold more than ``most`` points is
+    dealt by a hash into parts, and its queries visit each part; queries are streamed.
     """
     spark = points.sparkSession
     ship(spark)
     total = points.count()
     drawn = points.orderBy(F.xxhash64("fp")).limit(sample)
     fitted = np.array([r.fp for r in drawn.collect()], np.int64).view(np.uint64)
-    depth = min(max_depth, max(0, int(np.ceil(np.log2(max(1, total) / shard_rows)))))
-    tree = VantageTree(fitted, depth, least=max(2, min(64, sample)))
+    tree = VantageTree(fitted, depth, least=16)
     size = np.zeros(max(1, tree.leaves), np.int64)
     for leaf, _, home in tree.routes(fitted, 0):
         size[leaf] = home.sum()
-    expected = size * (total / max(1, len(fitted)))
-    parts = np.maximum(1, np.ceil(expected / (4 * max(shard_rows, total >> max_depth)))).astype(np.int64)
+    parts = np.maximum(1, np.ceil(size * (total / max(1, len(fitted))) / most)).astype(np.int64)
     route = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("visit", pa.bool_()), ("fp", pa.int64())])
 
     def send(batches):
