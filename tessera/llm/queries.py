@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, language, simhash, substring_dedup, toxicity
+from tessera.llm import bpe, exact_dedup, language, licenses, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def remainder(n: int, id_col: str = "doc_id") -> Column:
     """crc32 of the identifier as text, modulo n: which rows are held out."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
@@ -70,6 +74,7 @@ FROM n
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
+        "op2_licenses": op2_licenses,
         "op3_language": op3_language,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_substring_dedup": op5_substring_dedup,
