@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, language, licenses, simhash, substring_dedup, toxicity
+from tessera.llm import bpe, exact_dedup, language, licenses, media, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, machine).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"), with_media=False)
+
+
 #: Of equal normalised texts the smallest identifier stays.
 EXACT_DEDUP_SQL = r"""
 WITH n AS (
@@ -80,6 +84,7 @@ def queries() -> dict:
         "op5_substring_dedup": op5_substring_dedup,
         "op8_simhash": op8_simhash,
         "op9_toxicity": op9_toxicity,
+        "op10_media": op10_media,
     }
 
 
