@@ -20,6 +20,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each store lays aside 4 MB
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store takes memory only while its task runs
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 #: Let the scan of texts be thinned by a Bloom filter of the hits at any size.
