@@ -160,29 +160,28 @@ def _rows_picked(window: int):
     return lambda: apply
 
 
-def _rows_fingerprints(window: int):
+def _rows_fingerprints(window: int, slices: int, number: int):
+    """Fingerprints of one slice of their range; a window that its document has had before
+    has the complement of its place."""
+
     def apply(cols):
         words = Words(cols["text"])
         survived = np.array([a + p for a, ps in zip(words.first[:-1].tolist(), cols["places"], strict=True) for p in ps or ()], np.int64)
         levels = Levels(words, window)
         at = levels.around(survived)
-        if not len(at):
-            return {k: [] for k in ("a", "b", "id", "mark", "place", "again")}
-        a, b = levels.high(at)
-        doc = words.doc[at]
-        order = np.lexsort((at, b, a, doc))  # a window that this document has had before
-        same = np.zeros(len(at), bool)
-        o = order
-        same[1:] = (doc[o][1:] == doc[o][:-1]) & (a[o][1:] == a[o][:-1]) & (b[o][1:] == b[o][:-1])
+        a, b = levels.high(at) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        own = (a >> np.uint64(20)) % np.uint64(slices) == number
+        at, a, b = at[own], a[own], b[own]
+        doc, place = words.doc[at], words.place[at].astype(np.int32)
+        o = np.lexsort((at, b, a, doc))
         again = np.zeros(len(at), bool)
-        again[o] = same
+        again[o[1:]] = (doc[o][1:] == doc[o][:-1]) & (a[o][1:] == a[o][:-1]) & (b[o][1:] == b[o][:-1])
         return {
             "a": _signed(a),
             "b": b,
             "id": _taken(cols["id"], doc),
             "mark": np.array(cols["mark"], np.int64)[doc],
-            "place": words.place[at].astype(np.int32),
-            "again": again,
+            "place": np.where(again, ~place, place),
         }
 
     return lambda: apply
@@ -212,7 +211,9 @@ def _rows_kept(window: int, with_text: bool):
     return lambda: apply
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = True) -> DataFrame:
+def dedup_substrings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = True, slices: int = 2
+) -> DataFrame:
     """Remove each word covered by a ``window``-word window that also starts earlier.
 
     Returns ``doc_id, n_words, n_removed, kept_sha256`` and, with ``with_text``, the text
@@ -222,6 +223,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     window lose nothing; very long texts are taken whole.  A null identifier counts as
     the largest.  Rows that repeat an identifier count as one document and do not remove
     each other's words.  An empty table gives an empty table; other columns are not read.
+
+    ``slices`` cuts the range of window fingerprints into passes, each over all texts, so
+    that only a part of them lies in shuffle files at a time.
     """
     if window < 2:
         raise ValueError("a window holds at least two words")
@@ -241,13 +245,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.mark") == F.col("b.mark"))
         return a.join(b, same, how).select("a.id", "a.mark", "a.text", "b.places")
 
-    prints = map_rows(beside(places, "inner"), _rows_fingerprints(window), f"a bigint, b int, {key}, place int, again boolean")
-    first = prints.groupBy("a", "b").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b", "first")
     later = F.when(F.col("id").isNull(), F.col("first").isNotNull()).otherwise(F.col("id") > F.col("first"))
-    repeats = prints.join(first, ["a", "b"]).filter(F.col("again") | later)
-    removed = stored(repeats.groupBy("id", "mark").agg(F.collect_set("place").alias("places")), "removed")
-    del picked, often, prints, first, repeats
-    release(spark)
+    own = F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place"))
+    found = None
+    for number in range(slices):
+        prints = map_rows(beside(places, "inner"), _rows_fingerprints(window, slices, number), f"a bigint, b int, {key}, place int")
+        first = prints.groupBy("a", "b").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b", "first")
+        repeats = prints.join(first, ["a", "b"]).filter((F.col("place") < 0) | later)
+        part = stored(repeats.groupBy("id", "mark").agg(F.collect_set(own).alias("places")), "removed")
+        found = part if found is None else found.unionByName(part)
+        del prints, first, repeats
+        release(spark)
+    removed = found.groupBy("id", "mark").agg(F.flatten(F.collect_list("places")).alias("places"))
 
     schema = f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string" if with_text else "")
     return map_rows(beside(removed, "left"), _rows_kept(window, with_text), schema).withColumnRenamed("id", id_col)
