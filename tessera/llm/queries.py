@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, language, licenses, media, simhash, substring_dedup, toxicity
+from tessera.llm import bpe, exact_dedup, language, licenses, media, mixing, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
 
 
+#: Share of all tokens that each quality label is to have.
+QUALITY_WEIGHTS = {"0": 0.08, "1": 0.92}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return mixing.mix_documents(docs, labels, "quality", QUALITY_WEIGHTS)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -82,6 +91,7 @@ def queries() -> dict:
         "op3_language": op3_language,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_mixing": op6_mixing,
         "op8_simhash": op8_simhash,
         "op9_toxicity": op9_toxicity,
         "op10_media": op10_media,

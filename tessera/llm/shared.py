@@ -6,6 +6,7 @@ import contextlib
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -118,11 +119,14 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, pause: float = 1.0) -> None:
     """Let go of the shuffle files of finished jobs whose frames are out of use.
 
     Spark drops them when the driver's garbage is collected, which by itself may be long
     after; a job of several large steps would meanwhile hold the files of all of them.
+    Files are removed in the background, hence the pause.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)

@@ -342,3 +342,14 @@ def near_duplicates(
     home = stored(points.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "components")
     hex16 = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return each.join(home, "fp").select(F.col("id").alias(id_col), hex16.alias("fingerprint"), "component_id")
+
+
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, seed: int = 42
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with all columns: of each component the smallest
+    identifier.  Rows that repeat that identifier all stay, and so do the rows of a
+    component without any identifier, which nothing tells apart."""
+    found = near_duplicates(docs, id_col, text_col, words, radius, seed)
+    goes = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
+    return docs.join(goes, docs[id_col].eqNullSafe(goes["_id"]), "left_anti").select(*(docs[c] for c in docs.columns))

@@ -212,7 +212,7 @@ def _rows_kept(window: int, with_text: bool):
 
 
 def dedup_substrings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = True, slices: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = True, slices: int = 3
 ) -> DataFrame:
     """Remove each word covered by a ``window``-word window that also starts earlier.
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import map_rows
+from tessera.llm.shared import map_rows, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -65,32 +65,29 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[at].sum() + pairs, -500, 500))))
 
 
-def select(sets: list[set[int]], labels: np.ndarray, most: int, least: int = 5) -> np.ndarray:
-    """The terms with the largest likelihood ratio between the classes."""
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate([np.fromiter(s, np.int64, len(s)) for s in sets]) if sizes.sum() else np.zeros(0, np.int64)
-    terms, place = np.unique(flat, return_inverse=True)
-    owner = np.repeat(labels, sizes)
-    a, b = (np.bincount(place[owner == c], minlength=len(terms)).astype(float) for c in (1, 0))
-    n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
+def select(marked: DataFrame, most: int, least: int = 5) -> np.ndarray:
+    """The terms of ``y, terms`` rows with the largest likelihood ratio between the
+    classes, counted in the executors."""
+    n = {r.y: float(r.n) for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = max(1.0, n.get(1, 0.0)), max(1.0, n.get(0, 0.0))
+    counts = marked.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("c"))
+    a, b, c = F.col("a"), F.col("c") - F.col("a"), F.col("c")
 
-    def fit(k, n, q):
-        q = np.clip(q, 1e-9, 1 - 1e-9)
-        return k * np.log(q) + (n - k) * np.log(1 - q)
+    def fit(k: Column, n: float, q: Column) -> Column:
+        q = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), q))
+        return k * F.log(q) + (F.lit(n) - k) * F.log(1 - q)
 
-    both = (a + b) / (n1 + n0)
+    both = c / (n1 + n0)
     ratio = fit(a, n1, a / n1) + fit(b, n0, b / n0) - fit(a, n1, both) - fit(b, n0, both)
-    ratio[a + b < least] = -1
-    best = np.lexsort((terms, -ratio))[:most]
-    return np.sort(terms[best[ratio[best] > 0]])
+    best = counts.filter(c >= least).withColumn("ratio", ratio).filter("ratio > 0").orderBy(F.col("ratio").desc(), "term").limit(most)
+    return np.sort(np.array([r.term for r in best.select("term").collect()], np.int64))
 
 
 def fit_machine(
-    sets: list[set[int]], labels: np.ndarray, rows_share: float, most_terms: int = 1024, rank: int = 8, epochs: int = 12, seed: int = 7
+    terms: np.ndarray, sets: list[set[int]], labels: np.ndarray, rows_share: float, rank: int = 8, epochs: int = 12, seed: int = 7
 ) -> FactorizationMachine:
     """Logistic loss, by stochastic gradients with adaptive steps.  ``rows_share`` is the
     share of positive rows among all labelled ones, which sets the bias."""
-    terms = select(sets, labels, most_terms)
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), rank))
     share = min(max(rows_share, 1e-3), 1 - 1e-3)
@@ -129,6 +126,7 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     per_class: int = 4_000,
+    most_terms: int = 1_024,
     prefixes: tuple[int, ...] = (4, 5, 6, 7),
 ) -> FactorizationMachine:
     """Fit on at most ``per_class`` labelled rows of each class, the smallest by a hash of
@@ -145,10 +143,13 @@ def train(
         return lambda cols: {"id": cols["id"], "y": cols["y"], "terms": [sorted(terms.of(t)) for t in cols["text"]]}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = map_rows(rows.select("id", "y", "text"), features, f"id {kind}, y int, terms array<int>").collect()
-    got.sort(key=lambda r: (str(r.id), r.y))
+    marked = stored(map_rows(rows.select("id", "y", "text"), features, f"id {kind}, y int, terms array<int>"), "terms")
+    terms = select(marked, most_terms)
+    chosen = F.expr(f"array({','.join(map(str, terms.tolist()))})").cast("array<int>")
+    got = marked.select("y", F.xxhash64("id").alias("o"), F.array_intersect("terms", chosen).alias("terms")).collect()
+    got.sort(key=lambda r: (r.o, r.y))
     y = np.array([r.y for r in got], int)
-    return fit_machine([set(r.terms) for r in got], y, share.get(1, 0) / max(1, sum(share.values())))
+    return fit_machine(terms, [set(r.terms) for r in got], y, share.get(1, 0) / max(1, sum(share.values())))
 
 
 def score_documents(
