@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, language, licenses, media, mixing, simhash, substring_dedup, toxicity
+from tessera.llm import bpe, exact_dedup, language, licenses, media, mixing, simhash, substring_dedup, surrogates, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs, labels, "quality", QUALITY_WEIGHTS)
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a secret of the owner of the data (``TESSERA_KEY``)."""
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"), os.environ.get("TESSERA_KEY", "tessera"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -92,6 +97,7 @@ def queries() -> dict:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_mixing": op6_mixing,
+        "op7_surrogates": op7_surrogates,
         "op8_simhash": op8_simhash,
         "op9_toxicity": op9_toxicity,
         "op10_media": op10_media,
