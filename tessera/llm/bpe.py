@@ -51,7 +51,7 @@ class Transducer:
     """Encodes byte strings by ``ranks``.  ``max_states`` bounds the tables; they are
     started anew when full, which costs time but never changes a result."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(len(t))}
@@ -195,7 +195,7 @@ class Encoder(dict):
     packed ids of short pieces.  Two generations of ``max_pieces`` each bound it: a full
     one becomes the old one, and pieces met again come back from there."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, max_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, max_pieces: int = 200_000):
         super().__init__()
         self.transducer, self.max_pieces, self.old = Transducer(ranks), max_pieces, {}
         self.findall = regex.compile(pattern).findall
