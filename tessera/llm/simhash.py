@@ -249,20 +249,19 @@ def links(points: DataFrame, radius: int, sample: int = 20_000, depth: int = 6,
         key, shard, held = None, None, []
         for key_now, visit, values in _runs(batches):
             if key_now != key:
+                shard = shard or _filled(held, radius)  # no other point may have visited
                 if shard is not None:
                     yield edges(*shard.forest())
                 key, shard, held = key_now, None, []
             if not visit:
                 held.append(values)
                 continue
-            if shard is None:
-                shard = _filled(held, radius)
-            if shard is not None:
-                yield _found(shard, values, edges)
-        if key is not None:
             shard = shard or _filled(held, radius)
             if shard is not None:
-                yield edges(*shard.forest())
+                yield _found(shard, values, edges)
+        shard = shard or _filled(held, radius)
+        if shard is not None:
+            yield edges(*shard.forest())
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = points.select("fp").mapInArrow(send, "shard int, part int, visit boolean, fp bigint").repartition(n, "shard", "part")
