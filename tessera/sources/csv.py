@@ -40,7 +40,7 @@ def read_table(
         kept = numbered.join(F.broadcast(dropped), F.col("at") > F.col("last")).orderBy("at").select("value")
         first = kept.limit(1).collect()
         names = _first_cells(spark, first[0].value if first else "", options)
-        body = kept.offset(1) if headers else kept
+        body = (kept.offset(1) if headers else kept).filter("value <> ''")
         schema = ", ".join(f"c{i} string" for i in range(len(names)))
         parsed = body.select(F.from_csv("value", schema, options).alias("r")).select("r.*")
     else:
