@@ -533,3 +533,47 @@ def src_parquet_opts(spark, d):
 
     spec = TableSpec([ColumnSpec("r_regionkey", "int"), ColumnSpec("r_name"), ColumnSpec("missing", "int")])
     return parquet.read(spark, f"{d}/region.parquet", spec, type_defaults={"int": 7}, max_size=1 << 30)
+
+
+@query("SELECT 'a' AS k, CAST(1.5 AS DOUBLE) AS v UNION ALL SELECT 'b', 2.0 UNION ALL SELECT NULL, NULL")
+def src_table_builder(spark, d):
+    from tessera.sources.literal import TableBuilder
+
+    return TableBuilder("k", "v").row("a", 1.5).row("b", 2).row(None, None).build(spark)
+
+
+@query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def src_csv(spark, d):
+    """Written as CSV and read back by a specification."""
+    from tessera.sources import csv, scratch
+
+    spec = TableSpec([ColumnSpec("p_partkey", "bigint", "Part Key"), ColumnSpec("p_name", "string", "Name"), ColumnSpec("p_size", "int"), ColumnSpec("p_retailprice", "double", "Price")])
+    csv.write(t(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), path := scratch.folder(spark, "csv"), spec)
+    return csv.read(spark, path, spec, escape='"')
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def snk_parquet(spark, d):
+    """Written with a codec and field selection, and read back."""
+    from tessera.sources import parquet, scratch
+
+    df = t(spark, d, "customer")
+    chosen = FieldSelector(TableSpec.of(df.schema)).fields("c_custkey", "c_name", "c_acctbal")
+    parquet.write(df, path := scratch.folder(spark, "parquet"), select=chosen, compression="ZSTD")
+    return parquet.read_table(spark, path)
+
+
+@query("SELECT event_id - min(event_id) OVER () AS row, 'n' AS field, 1 AS \"column\", 'x' || event_id AS value FROM events WHERE event_id % 50 = 0")
+def io_error(spark, d):
+    """Cells that can't be read, with their places."""
+    from tessera.plans.schema import quarantine
+
+    raw = t(spark, d, "events").select("event_id", F.when(c("event_id") % 50 == 0, F.concat(F.lit("x"), c("event_id").cast("string"))).otherwise(F.lit("7")).alias("n"))
+    return quarantine(raw, TableSpec([ColumnSpec("event_id", "bigint"), ColumnSpec("n", "int")]), "event_id")
+
+
+@query()
+def tabular_string(spark, d):
+    from tessera.operators import display
+
+    return spark.createDataFrame([(display.tabular(t(spark, d, "nation"), "n_nationkey", 10),)], "shown string")

@@ -1,0 +1,2 @@
+"""Sources and sinks: ``csv``, ``parquet`` and ``excel`` modules with ``read``,
+``read_table`` and ``write``; ``literal`` for values in the program."""
