@@ -75,7 +75,7 @@ class Transducer:
         """
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > 2 * self.max_states:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._hold(left, right)
         return known
@@ -195,9 +195,9 @@ class Encoder(dict):
     packed ids of short pieces.  Two generations of ``max_pieces`` each bound it: a full
     one becomes the old one, and pieces met again come back from there."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, max_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, max_pieces: int = 200_000, max_states: int = 200_000):
         super().__init__()
-        self.transducer, self.max_pieces, self.old = Transducer(ranks), max_pieces, {}
+        self.transducer, self.max_pieces, self.old = Transducer(ranks, max_states), max_pieces, {}
         self.findall = regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
@@ -310,17 +310,18 @@ class Decoder:
         yield machine.end()
 
 
-_CODECS: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
+_CODECS: dict[tuple, tuple[Encoder, Decoder]] = {}
 
 
-def codec(path: str, pattern: str = PATTERN) -> tuple[Encoder, Decoder]:
+def codec(path: str, pattern: str = PATTERN, max_pieces: int = 200_000, max_states: int = 200_000) -> tuple[Encoder, Decoder]:
     """The encoder and decoder of a rank file, kept for the life of a Python worker."""
-    if (path, pattern) not in _CODECS:
+    key = path, pattern, max_pieces, max_states
+    if key not in _CODECS:
         gc.set_threshold(200_000, 50, 100)  # the tables hold no cycles; seldom look for any
         with open(path, "rb") as lines:
             ranks = load_ranks(lines)
-        _CODECS[path, pattern] = Encoder(ranks, pattern), Decoder(ranks)
-    return _CODECS[path, pattern]
+        _CODECS[key] = Encoder(ranks, pattern, max_pieces, max_states), Decoder(ranks)
+    return _CODECS[key]
 
 
 def encode_documents(
@@ -330,6 +331,8 @@ def encode_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = True,
+    max_pieces: int = 300_000,
+    max_states: int = 300_000,
 ) -> DataFrame:
     """Encode each text and decode it again.
 
@@ -339,11 +342,12 @@ def encode_documents(
     as empty: no ids, digests of the empty string.  Null identifiers and repeated
     rows pass through, one row out for each row in; an empty table gives an empty
     table; other columns are not read, so their names can't clash.  A very long text
-    is decoded in portions.
+    is decoded in portions.  ``max_pieces`` and ``max_states`` bound the tables of a worker
+    (about 1 KB for each of both); they change its speed, not the result.
     """
 
     def rows():
-        encoder, decoder = codec(vocabulary, pattern)
+        encoder, decoder = codec(vocabulary, pattern, max_pieces, max_states)
 
         def apply(cols):
             out = {k: [] for k in ("n", "ids_sha256", "decoded_sha256", "ids", "decoded")}
