@@ -5,6 +5,7 @@ sublinear counts, weighted by inverse document frequency and scaled to unit leng
 Each language has several centroids, found by clustering its sample on the sphere, so
 that one language may have several ways of writing.  The nearest centroid by cosine
 names the language; a text farther from every centroid than its bound is rejected.
+Texts of a word or two have few n-grams to agree in, so their bounds are lower.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from tessera.llm.shared import map_rows
 UNKNOWN = "und"
 #: Buckets of each n-gram length, and how many texts are counted together.
 BUCKETS, TOGETHER = 4_096, 64
+#: Bytes of letters from which the whole bound holds; below, it falls with their root.
+WHOLE = 24
 
 _LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 
@@ -63,7 +66,7 @@ class Centroids:
     languages: list[str]  # of each centroid
     vectors: np.ndarray
     idf: np.ndarray
-    farthest: np.ndarray  # cosine distance bound of each centroid
+    least: np.ndarray  # cosine that a text must have to count as one of the centroid's
 
     def vector(self, texts: list[str | None]) -> np.ndarray:
         return unit(np.log1p(counted(texts)) * self.idf)
@@ -80,7 +83,8 @@ class Centroids:
                     out.append((UNKNOWN, 0.0, True))
                 else:
                     score = float(min(1.0, max(0.0, row[b])))
-                    out.append((self.languages[b], score, bool(1 - score > self.farthest[b])))
+                    room = min(1.0, (len(letters(text)) / WHOLE) ** 0.5)
+                    out.append((self.languages[b], score, bool((row < room * self.least).all())))
         return out
 
 
@@ -99,9 +103,9 @@ def spherical(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> tuple[n
     return c, (x @ c.T).argmax(1)
 
 
-def fit_centroids(texts: list[str], langs: list[str], clusters: int = 4, slack: float = 0.9) -> Centroids:
-    """Centroids from labelled texts.  A centroid's bound lies, of the way from the
-    farthest text of its cluster to distance 1 (nothing in common), at ``slack``."""
+def fit_centroids(texts: list[str], langs: list[str], clusters: int = 4, low: float = 0.01, share: float = 0.45) -> Centroids:
+    """Centroids from labelled texts.  A centroid's bound is a ``share`` of the ``low``
+    quantile of its own texts' cosines, so a few odd texts in a sample don't open it."""
     kept = [i for i, t in enumerate(texts) if has_letter(t)]
     x = np.concatenate([counted([texts[i] for i in kept[a : a + 256]]) for a in range(0, len(kept), 256)]) if kept else np.zeros((0, 2 * BUCKETS), np.float32)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
@@ -114,10 +118,9 @@ def fit_centroids(texts: list[str], langs: list[str], clusters: int = 4, slack:
         for j in range(len(c)):
             members = own[cluster == j]
             if len(members):
-                far = float(1 - (members @ c[j]).min())
                 names.append(lang)
                 vectors.append(c[j])
-                bounds.append(far + slack * (1 - far))
+                bounds.append(share * float(np.quantile(members @ c[j], low)))
     stack = np.stack(vectors) if vectors else np.zeros((0, 2 * BUCKETS), np.float32)
     return Centroids(names, stack, idf, np.array(bounds))
 

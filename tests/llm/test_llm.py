@@ -237,6 +237,23 @@ def test_language(spark, empty):
     assert language.identify(empty, language.train(empty, F.lit(True))).count() == 0
 
 
+def test_language_rejects_what_it_does_not_know(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    centroids = language.train(docs, F.col("doc_id") % 3 != 1)
+    held = docs.filter((F.col("doc_id") % 3 == 1) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    stays = language.keep_identified(held, centroids).count()
+    assert stays >= 0.99 * held.count()
+    rnd = random.Random(1)
+    unknown = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 9))) for _ in range(200)),
+        " ".join("".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=rnd.randint(3, 9))) for _ in range(200)),
+    ]
+    assert [rejected for _, _, rejected in centroids.nearest(unknown)] == [True] * 5
+
+
 def test_toxicity_learns_a_pair(spark, empty):
     """Neither word alone tells; both together do."""
     rnd = random.Random(3)
