@@ -4,7 +4,9 @@ Terms are the lower-cased words of a text and their prefixes of some lengths, ha
 a text is the set of its terms.  The machine adds to a linear score the interactions of
 all pairs of terms through low-rank factors, so that an insult beside a group's name can
 weigh more, or less, than the two apart.  It is fitted on a bounded sample of labelled
-rows, on the terms that tell the classes apart best; scoring reads every whole text.
+rows: first on the terms that tell the classes apart by themselves, then from there on
+all terms of the sample, so that terms which tell only together are learned as well.
+Rows kept aside say how long.  Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ class Terms(dict):
 
 @dataclass
 class FactorizationMachine:
-    """``bias + w.x + sum over pairs i<j of <v_i, v_j> x_i x_j`` on selected terms."""
+    """``bias + w.x + sum over pairs i<j of <v_i, v_j> x_i x_j`` on the terms of the sample."""
 
     terms: np.ndarray  # sorted hashed terms
     bias: float
@@ -118,6 +120,77 @@ def fit_machine(
     return machine
 
 
+def fit_all(
+    start: FactorizationMachine, sets: list[np.ndarray], labels: np.ndarray, rows_share: float, aside: np.ndarray,
+    paces: tuple[tuple[bool, float, int], ...] = ((True, 0.03, 4), (False, 0.01, 16)), patience: int = 5, seed: int = 7,
+) -> FactorizationMachine:
+    """A machine over all terms of ``sets`` (sorted terms of each row), sparse.
+
+    Each pace is whether to carry ``start`` on or begin with nothing learned, a damping,
+    which holds back terms of few rows, and how many epochs.  Rows ``aside`` are not
+    fitted on; the state with the least loss on them stands, ``start`` included."""
+    if not len(sets) or not aside.any() or len(set(labels[~aside].tolist())) < 2:
+        return start
+    rank, size = start.factors.shape[1], np.array([len(s) for s in sets])
+    begin = np.concatenate([[0], np.cumsum(size)])
+    terms = np.unique(np.concatenate(sets))
+    col = np.concatenate([np.searchsorted(terms, s).astype(np.int32) for s in sets])
+    if not len(terms):
+        return start
+    weight = np.where(labels == 1, rows_share * len(labels) / max(1, (labels == 1).sum()), (1 - rows_share) * len(labels) / max(1, (labels == 0).sum()))
+    fitted, held = np.nonzero(~aside)[0], np.nonzero(aside)[0]
+
+    def scored(p: np.ndarray, part: np.ndarray, bias: float):
+        n = size[part]
+        row = np.repeat(np.arange(len(part)), n)
+        at = col[np.repeat(begin[part] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        x = p[at]
+        sums = np.stack([np.bincount(row, x[:, k], len(part)) for k in range(rank + 1)], 1)
+        own = np.bincount(row, (x[:, 1:] ** 2).sum(1), len(part))
+        return row, at, sums, bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - own)
+
+    def loss(p: np.ndarray, bias: float) -> float:
+        score = np.concatenate([scored(p, held[i : i + 256], bias)[3] for i in range(0, len(held), 256)])
+        return float((weight[held] * (np.logaddexp(0, score) - labels[held] * score)).sum() / weight[held].sum())
+
+    known = np.isin(start.terms, terms)
+    place = np.searchsorted(terms, start.terms[known])
+    alone = np.zeros((len(terms), rank + 1), np.float32)
+    alone[place, 0], alone[place, 1:] = start.weights[known], start.factors[known]
+    best, stands = loss(alone, start.bias), start
+    for carried, damping, epochs in paces:
+        rng = np.random.default_rng(seed)
+        p = np.concatenate([np.zeros((len(terms), 1)), rng.normal(0, 0.01, (len(terms), rank))], 1, dtype=np.float32)
+        bias = start.bias if carried else float(np.log(rows_share / (1 - rows_share)))
+        if carried:
+            p[place] = alone[place]
+        first, second, t, since, least = np.zeros_like(p), np.zeros_like(p), 0, 0, loss(p, bias)
+        for _ in range(epochs):
+            order = rng.permutation(fitted)
+            for i in range(0, len(order), 256):
+                part = order[i : i + 256]
+                row, at, sums, score = scored(p, part, bias)
+                own, back = np.unique(at, return_inverse=True)
+                q = p[own]
+                e = ((1 / (1 + np.exp(-np.clip(score, -500, 500))) - labels[part]) * weight[part] / len(part))[row]
+                total = np.bincount(back, e, len(own))
+                grad = np.empty_like(q)
+                grad[:, 0] = total + 1e-4 * q[:, 0]
+                for k in range(1, rank + 1):
+                    grad[:, k] = np.bincount(back, e * sums[row, k], len(own)) + (1e-4 - total) * q[:, k]
+                t += 1
+                a = first[own] = 0.9 * first[own] + 0.1 * grad
+                b = second[own] = 0.999 * second[own] + 0.001 * grad * grad
+                p[own] = q - 0.03 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + damping)
+            now = loss(p, bias)
+            since, least = (0, now) if now < least else (since + 1, least)
+            if now < best:
+                best, stands = now, FactorizationMachine(terms, bias, p[:, 0].astype(float), p[:, 1:].astype(float))
+            if since >= patience or now > 1 + least:
+                break
+    return stands
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -145,11 +218,16 @@ def train(
     kind = docs.schema[id_col].dataType.simpleString()
     marked = stored(map_rows(rows.select("id", "y", "text"), features, f"id {kind}, y int, terms array<int>"), "terms")
     terms = select(marked, most_terms)
-    chosen = F.expr(f"array({','.join(map(str, terms.tolist()))})").cast("array<int>")
-    got = marked.select("y", F.xxhash64("id").alias("o"), F.array_intersect("terms", chosen).alias("terms")).collect()
-    got.sort(key=lambda r: (r.o, r.y))
-    y = np.array([r.y for r in got], int)
-    return fit_machine(terms, [set(r.terms) for r in got], y, share.get(1, 0) / max(1, sum(share.values())))
+    got = marked.select("y", F.xxhash64("id").alias("o"), "terms").toArrow()
+    y, o, held = got["y"].to_numpy().astype(int), got["o"].to_numpy(), got["terms"].combine_chunks()
+    ends = np.asarray(held.offsets, np.int64)
+    rows_terms = np.split(held.values.to_numpy(), ends[1:-1]) if len(y) else []
+    order = np.lexsort((y, o))
+    y, sets = y[order], [rows_terms[i] for i in order]
+    aside = np.random.default_rng(11).random(len(y)) < 0.15
+    positive = share.get(1, 0) / max(1, sum(share.values()))
+    start = fit_machine(terms, [set(sets[i][np.isin(sets[i], terms)].tolist()) for i in np.nonzero(~aside)[0]], y[~aside], positive)
+    return fit_all(start, sets, y, min(max(positive, 1e-3), 1 - 1e-3), aside)
 
 
 def score_documents(

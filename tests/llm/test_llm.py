@@ -275,6 +275,22 @@ def test_toxicity_learns_a_pair(spark, empty):
     assert abs(brute - 0.5 * ((v.sum(0) ** 2) - (v * v).sum(0)).sum()) < 1e-9
 
 
+def test_toxicity_learns_terms_that_tell_only_together(spark):
+    """Neither word has a ratio of its own among thousands of others; toxic is both or none."""
+    rnd = random.Random(3)
+    noise = sorted({"".join(rnd.choices("abcdefghijklmnopqrst", k=3)) for _ in range(6000)})
+    rows, labels = [], []
+    for i in range(2000):
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        rows.append((i, " ".join(rnd.sample(noise, 20) + ["zuu"] * a + ["zyy"] * b)))
+        labels.append((i, int(a == b)))
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.train(df, known, F.col("doc_id") % 5 != 0)
+    scored = {r.doc_id: r for r in toxicity.score_documents(df, machine).collect()}
+    held = [i for i, _ in labels if i % 5 == 0]
+    assert np.mean([scored[i].predicted == labels[i][1] for i in held]) > 0.85
+
+
 def png():
     def chunk(name, data):
         return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
