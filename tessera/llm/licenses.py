@@ -28,8 +28,8 @@ from tessera.llm.shared import map_rows
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-#: Words of a block, and how far the next one starts.
-BLOCK, STRIDE = 64, 32
+#: Words of a block; the next one starts half a block on.
+BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -90,10 +90,16 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
-def blocks_at(place: int, total: int) -> range:
+def block_size(templates: tuple[Template, ...]) -> int:
+    """Words of a block: twice the longest template, so that each lies whole in some block."""
+    return max(BLOCK, 2 * max((len(t.words) for t in templates), default=0))
+
+
+def blocks_at(place: int, total: int, block: int = BLOCK) -> range:
     """Numbers of the blocks that hold the word at a place of a text of ``total`` words."""
-    last = max(0, -(-(total - BLOCK) // STRIDE))
-    return range(min(last, max(0, (place - BLOCK) // STRIDE + 1)), min(last, place // STRIDE) + 1)
+    stride = block // 2
+    last = max(0, -(-(total - block) // stride))
+    return range(min(last, max(0, (place - block) // stride + 1)), min(last, place // stride) + 1)
 
 
 class Index:
@@ -101,6 +107,8 @@ class Index:
 
     def __init__(self, templates: tuple[Template, ...], often: dict[bytes, int]):
         self.templates = templates
+        self.size = block_size(templates)
+        self.stride = self.size // 2
         vocabulary = {w for t in templates for w in t.words}
         self.rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
         self.sets = [sorted({self.rank[w] for w in t.words}) for t in templates]
@@ -114,8 +122,8 @@ class Index:
 
     def blocks(self, words: list[bytes]) -> dict[int, list[bytes]]:
         """Blocks that hold a prefix word, by number."""
-        found = dict.fromkeys(b for i, w in enumerate(words) if w in self.prefix for b in blocks_at(i, len(words)))
-        return {b: words[b * STRIDE : b * STRIDE + BLOCK] for b in found}
+        found = dict.fromkeys(b for i, w in enumerate(words) if w in self.prefix for b in blocks_at(i, len(words), self.size))
+        return {b: words[b * self.stride : b * self.stride + self.size] for b in found}
 
     def matches(self, block: list[bytes]) -> dict[int, float]:
         """Templates that the block meets, with their containment."""
@@ -140,24 +148,23 @@ class Index:
                     out[t] = n / len(self.sets[t])
         return out
 
-    def scan(self, text: str | None) -> tuple[int, dict[int, set[int]], dict[int, tuple[float, int]]]:
-        """Number of words; for each phrase its places; for each other template met, the
-        best containment and its block."""
+    def scan(self, text: str | None) -> tuple[int, dict[int, set[int]], dict[int, list[tuple[int, float]]]]:
+        """Number of words; for each phrase its places; for each other template, every
+        block that meets it, by its first word, with the containment."""
         words = words_of(text)
         places: dict[int, set[int]] = defaultdict(set)
-        met: dict[int, tuple[float, int]] = {}
+        met: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for number, block in self.blocks(words).items():
             for t, score in self.matches(block).items():
                 phrase = self.phrases.get(t)
                 if phrase is None:
-                    if score > met.get(t, (0.0, 0))[0]:
-                        met[t] = score, number
+                    met[t].append((number * self.stride, score))
                     continue
                 n, at = len(phrase), -1
                 while phrase[0] in block[at + 1 :]:
                     at = block.index(phrase[0], at + 1)
                     if tuple(block[at : at + n]) == phrase:
-                        places[t].add(number * STRIDE + at)
+                        places[t].add(number * self.stride + at)
         return len(words), places, met
 
 
@@ -165,13 +172,14 @@ def word_frequencies(docs: DataFrame, templates: tuple[Template, ...], text_col:
     """How many blocks of all texts hold each template word.  Counted over the whole
     corpus; as many numbers come back as the templates have words."""
     vocabulary = frozenset(w for t in templates for w in t.words)
+    size = block_size(templates)
 
     def rows():
         def apply(cols):
             total: Counter[bytes] = Counter()
             for text in cols["text"]:
                 words = words_of(text)
-                held = {(b, w) for i, w in enumerate(words) if w in vocabulary for b in blocks_at(i, len(words))}
+                held = {(b, w) for i, w in enumerate(words) if w in vocabulary for b in blocks_at(i, len(words), size)}
                 total.update(w for _, w in held)
             return {"word": list(total), "n": list(total.values())}
 
@@ -191,7 +199,8 @@ def scan_documents(
     """Licence labels of each text.
 
     Returns ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``
-    and ``blocks`` (template label, first word of the block, containment).  ``n_base``
+    and ``blocks`` (template label, first word of the block, containment: every block that
+    meets a template, so one notice may be in two overlapping blocks).  ``n_base``
     counts all places of base phrases; first and last are their smallest and largest
     starts, null without any; labels are distinct, sorted and joined by commas (empty
     without any); the score is the best containment found, 1 for a base phrase, 0 without
@@ -218,8 +227,8 @@ def scan_documents(
                 out["last_word"].append(max(starts, default=None))
                 out["base_labels"].append(",".join(sorted(own)))
                 out["labels"].append(",".join(sorted(own | {every[t].label for t in met})))
-                out["score"].append(1.0 if starts else max((s for s, _ in met.values()), default=0.0))
-                out["blocks"].append([{"label": every[t].label, "start": b * STRIDE, "containment": s} for t, (s, b) in sorted(met.items())])
+                out["score"].append(1.0 if starts else max((s for found in met.values() for _, s in found), default=0.0))
+                out["blocks"].append([{"label": every[t].label, "start": b, "containment": s} for t in sorted(met) for b, s in sorted(met[t])])
             return out
 
         return apply

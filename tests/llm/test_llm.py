@@ -219,6 +219,27 @@ def test_licenses(docs, empty, spark):
         assert set(index.matches(words)) == want
 
 
+def test_licenses_every_block_of_every_template(spark):
+    notice = "Licensed under the Apache License, Version 2.0. "
+    long = licenses.Template("long", " ".join(f"clause{i}" for i in range(150)), 0.9)
+    texts = [("filler " * 200).join([notice] * 4), "filler " * 77 + long.text + " filler" * 300, "none"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for templates in (licenses.TEMPLATES, (*licenses.TEMPLATES, long)):
+        size = licenses.block_size(licenses.BASE + templates)
+        got = {r.doc_id: [(b.label, b.start, b.containment) for b in r.blocks] for r in licenses.scan_documents(df, templates=templates).collect()}
+        for i, text in enumerate(texts):
+            words, want = licenses.words_of(text), []
+            for t in templates:
+                own = set(t.words)
+                for start in range(0, max(1, len(words) - size + size // 2), size // 2):
+                    share = len(own & set(words[start : start + size])) / len(own)
+                    if share >= t.threshold:
+                        want.append((t.label, start, share))
+            assert got[i] == want
+        assert len({start for label, start, _ in got[0] if label == "apache-2.0"}) >= 4
+    assert any(label == "long" and share == 1 for label, _, share in got[1])
+
+
 def test_language(spark, empty):
     en, fr = "the of and that with from this have their which".split(), "le des une dans que pour avec sur était très".split()
     rnd = random.Random(1)
