@@ -1,6 +1,10 @@
 """Every registered relational query against its SQL, on the smallest tables."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -42,3 +46,16 @@ def test_query_equals_sql(spark, db, name):
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    """With the optional subpackage gone the others are still registered."""
+    top = os.path.dirname(os.path.abspath(entry_module.__file__))
+    shutil.copytree(f"{top}/tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{top}/{name}"):
+            shutil.copy(f"{top}/{name}", tmp_path)
+    ask = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.splitlines()
+    assert got == [" ".join(sorted(core.queries())), " ".join(sorted(core.oracle_sql()))]
