@@ -89,6 +89,27 @@ FROM n
 """
 
 
+#: A word goes if a 20-word window over it has an earlier start elsewhere.
+SUBSTRING_DEDUP_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), t AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p, len(ws) AS n FROM w
+), k AS (
+  SELECT t.doc_id, t.word, t.p, CASE WHEN t.p + 19 <= t.n THEN array_to_string(w.ws[t.p : t.p + 19], ' ') END AS window_words
+  FROM t JOIN w USING (doc_id)
+), a AS (
+  SELECT doc_id, word, p, window_words IS NOT NULL AND row_number() OVER (PARTITION BY window_words ORDER BY doc_id, p) > 1 AS again FROM k
+), c AS (
+  SELECT doc_id, word, p, max(again::INT) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM a
+), s AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, coalesce(s.n_removed, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN s USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -107,4 +128,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": EXACT_DEDUP_SQL,
+        "op5_substring_dedup": SUBSTRING_DEDUP_SQL,
     }

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -86,17 +87,30 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def pieces(batch: pa.RecordBatch, rows: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and, but for single rows, ``most`` bytes."""
+    n = batch.num_rows
+    if n <= 1 or n <= rows and batch.nbytes <= most:
+        if n:
+            yield batch
+        return
+    yield from pieces(batch.slice(0, n // 2), rows, most)
+    yield from pieces(batch.slice(n // 2), rows, most)
+
+
 def map_rows(
     df: DataFrame,
     rows: Callable[[], Callable[[dict[str, list]], dict[str, list]]],
     schema: str,
     chunk: int = 256,
+    most: int = 8 << 20,
 ) -> DataFrame:
-    """Apply a batch function in Python, ``chunk`` rows at a time.
+    """Apply a batch function in Python to slices of ``chunk`` rows or ``most`` bytes.
 
     ``rows()`` is called once per task and returns the function that maps a dict
-    of column lists to a dict of column lists.  Batches are sliced so that a
-    worker holds a few hundred texts at most, however large Spark's batches are.
+    of column lists to a dict of columns (lists or arrays).  Batches are sliced so that a
+    worker holds a few megabytes of text at most, or one longer text, however large
+    Spark's batches are.
     """
     ship(df.sparkSession)
     target = _arrow_schema(df.sparkSession, schema)
@@ -104,14 +118,30 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = rows()
         for batch in batches:
-            for at in range(0, batch.num_rows, chunk):
-                part = batch.slice(at, chunk)
+            for part in pieces(batch, chunk, most):
                 out = apply({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+                yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 
 
+def _column(values: pa.Array | list, kind: pa.DataType) -> pa.Array:
+    if isinstance(values, pa.Array):
+        return values if values.type == kind else values.cast(kind)
+    return pa.array(values, kind)
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, parts: int = 2_048) -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row for each key) where ``count`` says how many
+    rows have the key.  Keys with more than one in ``parts`` of all rows, of which there
+    can be ``parts`` at most, are broadcast; the others are shuffled, none of them large.
+    Both frames are read several times and should be stored."""
+    bar = max(1_000, rows.count() // parts)
+    hot = F.broadcast(keyed.filter(F.col(count) > bar))  # at most `parts` rows
+    cold = rows.join(hot.select(key), key, "left_anti").join(keyed.filter(F.col(count) <= bar), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

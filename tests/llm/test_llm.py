@@ -128,20 +128,26 @@ def test_exact_dedup_state_goes_on(spark, tmp_path):
     assert {(bytes(r.digest), r.first.id, r["size"]) for r in got} == {(b"a", 3, 2), (b"b", 7, 1), (b"c", 1, 1)}
 
 
-def test_substring_dedup(docs, empty):
-    rows = sorted({r[:2] for r in fixture_rows()}, key=lambda r: (r[0] is None, r[0] or 0))
+def brute_substrings(rows, window):
+    """``id, text`` rows in order of the identifier: words, words removed and what is kept."""
     seen, want = set(), {}
     for i, t in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         gone, own = [False] * len(words), set()
-        for s in range(len(words) - 19):
-            key = tuple(words[s : s + 20])
+        for s in range(len(words) - window + 1):
+            key = tuple(words[s : s + window])
             if key in seen or key in own:
-                gone[s : s + 20] = [True] * 20
+                gone[s : s + window] = [True] * window
             own.add(key)
         seen |= own
         kept = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
         want[i] = (len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
+    return want
+
+
+def test_substring_dedup(docs, empty):
+    rows = sorted({r[:2] for r in fixture_rows()}, key=lambda r: (r[0] is None, r[0] or 0))
+    want = brute_substrings(rows, 20)
     got = substring_dedup.dedup_substrings(docs).collect()
     assert len(got) == len(fixture_rows())
     for r in got:
@@ -150,6 +156,33 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+@pytest.mark.parametrize("window, start, levels", [(7, 2, [2, 4, 7]), (20, 5, [5, 10, 20]), (20, 20, [20]), (2, 1, [1, 2])])
+def test_substring_dedup_by_levels(spark, window, start, levels):
+    assert substring_dedup.lengths(window, start) == levels
+    rnd = random.Random(window)
+    pool = [" ".join(rnd.choices("abcdefgh", k=rnd.randint(1, 60))) for _ in range(12)]
+    rows = [(i, " x ".join(rnd.choices(pool, k=3)) if i % 4 else rnd.choice(pool)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_substrings(rows, window)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in substring_dedup.dedup_substrings(df, window=window, start=start).collect()}
+    assert got == want and any(w[1] for w in want.values())
+
+
+def test_substring_dedup_tells_words_apart_that_polynomials_confuse(spark):
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"word{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{same} {a}"), (2, f"{same} {a.translate(str.maketrans('ab', 'ba'))}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.dedup_substrings(df).collect()] == [0, 0]
+    # at the level of words too, since lower levels only thin out
+    x, y = ["p", "q"], ["q", "p"]
+    while len(x) < 1024:
+        x, y = x + y, y + x
+    df = spark.createDataFrame([(1, " ".join(x)), (2, " ".join(y))], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.dedup_substrings(df, window=1024).collect()] == [0, 0]
+
+
 def brute_components(prints, radius):
     up = list(range(len(prints)))
 
