@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,8 +60,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key is a secret of the owner of the data (``TESSERA_KEY``)."""
-    return surrogates.replace_entities(table(spark, sf_dir, "documents"), os.environ.get("TESSERA_KEY", "tessera"))
+    """The key is a secret of the owner of the data (``TESSERA_KEY``).  Without one, a key
+    is drawn for this run and kept nowhere, so its surrogates can't be made again."""
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"), os.environ.get("TESSERA_KEY") or secrets.token_hex(32))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,32 +393,113 @@ def test_mixing(spark, empty):
     assert mixing.mix_documents(empty, known, "domain", weights).count() == 0
 
 
+PEOPLE = {
+    1: "Mail jo.81@mail7.example.com or +1 (980) 555-6268; again jo.81@mail7.example.com.",
+    2: "Card 4111 1111 1111 1111, host 10.0.255.7, ssn 123-45-6789, token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\", (212) 555-0100 or 212-555-0100, 3782-822463-10005",
+    3: "Mrs. Anna Berg met Mr Otto Berg and г-жа Анна Иванова. Later Otto Berg left; Berg's hat, Bergen, Mrs Berg and Dr O'Hara-Smith.",
+    4: None, 5: "", 6: "nothing here 12.5 and 1.2.3", 7: "call +1 (980) 555-6268", 8: "x" * 50000,
+    9: "Mrs Μαρία Παπαδοπούλου, Mrs Անի Սարգսյան, Mr Li Čš, Mr 王伟 and г-н Пётр Ёлкин",
+    10: "Mr Otto Berg", 11: "Berg without a title",
+}
+
+
+def luhn(text):
+    digits = re.sub(r"\D", "", text)
+    return sum(sum(divmod(int(x) * (2 - (len(digits) - i) % 2), 10)) for i, x in enumerate(digits)) % 10 == 0
+
+
 def test_surrogates(spark, empty):
-    texts = {
-        1: "Mail jo.81@mail7.example.com or +1 (980) 555-6268; again jo.81@mail7.example.com.",
-        2: "Card 4111 1111 1111 1111, host 10.0.255.7, ssn 123-45-6789, token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\"",
-        3: "Mrs. Anna Berg met Mr Otto Berg and г-жа Анна Иванова.",
-        4: None, 5: "", 6: "nothing here 12.5 and 1.2.3", 7: "call +1 (980) 555-6268", 8: "x" * 50000,
-    }
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: r for r in surrogates.replace_entities(df, "key").collect()}
+    rows = [*PEOPLE.items(), (7, PEOPLE[7]), (None, PEOPLE[7])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, kind string, entity int")
+    found = surrogates.replace_entities(df, "key").collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows) and got[None].text == got[7].text and len({r.text for r in found if r.doc_id == 7}) == 1
     one, two, three = (got[i].text for i in (1, 2, 3))
     mails = re.findall(r"\S+@\S+\.com", one)
     assert mails[0] == mails[1] != "jo.81@mail7.example.com" and re.fullmatch(r"[a-z]{2}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", mails[0])
     phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", one)[0]
     assert phone in got[7].text and "555-6268" not in one and got[1].n_entities == 3 and got[1].kinds == "email,phone"
-    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", two)[0].replace(" ", "")
-    assert card != "4" + "1" * 15 and sum(sum(divmod(int(x) * (2 - i % 2), 10)) for i, x in enumerate(card)) % 10 == 0
-    host = re.search(r"host ([\d.]+),", two)[1]
-    assert host != "10.0.255.7" and all(0 <= int(x) <= 255 for x in host.split(".")) and re.search(r'"[0-9a-f]{40}"', two)
-    a, b, c = re.fullmatch(r"Mrs\. (\w+) [A-Z][a-z]+ met Mr (\w+) [A-Z][a-z]+ and г-жа (\w+) [А-Я][а-я]+\.", three).groups()
+    card, host, ssn, token, home, work, other = re.fullmatch(r"Card ([\d ]{19}), host ([\d.]+), ssn (\d{3}-\d\d-\d{4}), token = \"([0-9a-f]{40})\", (\(\d{3}\) \d{3}-\d{4}) or (\d{3}-\d{3}-\d{4}), (\d{4}-\d{6}-\d{5})", two).groups()
+    assert luhn(card) and luhn(other) and all(0 < int(x) < 255 for x in host.split(".")) and got[2].n_entities == 7
+    assert not {card, host, ssn, token, home, work, other} & set(re.split(r", |\"| or |Card |host |ssn ", PEOPLE[2]))
+    a, berg, b, c, ivanova, *rest = re.fullmatch(
+        r"Mrs\. (\w+) (\w+) met Mr (\w+) \2 and г-жа (\w+) (\w+)\. Later \3 \2 left; \2's hat, Bergen, Mrs \2 and Dr ([A-Z]'[A-Z][a-z]+-[A-Z][a-z]+)\.", three).groups()
     assert a in surrogates.GIVEN["f", "latin"] and b in surrogates.GIVEN["m", "latin"] and c in surrogates.GIVEN["f", "cyrillic"]
-    assert got[4].text is None and got[5].text == "" and got[6].text == texts[6] and got[8].text == texts[8]
-    many = spark.createDataFrame([(f"{p}{i}@x.com",) for i in range(300) for p in ("a", "b")], "entity string")
-    assert surrogates.distinct_surrogates(many, "k").select("s").distinct().count() == 600
-    names = spark.createDataFrame([(f"Mr {a} Li",) for a in "Abe Ali Ben Bob Cal Dan Eli Gil Hal Ian Jim Ken Len Moe Ned Ray Sam Ted Tim Vic Wes".split()], "entity string")
-    assert surrogates.distinct_surrogates(names, "k").select("s").distinct().count() == 21
+    assert re.fullmatch("[A-Z][a-z]{3}", berg) and berg != "Berg" and re.fullmatch("[А-Я][а-я]{6}", ivanova) and rest[0] != "O'Hara-Smith"
+    assert got[10].text == f"Mr {b} {berg}" and got[11].text == PEOPLE[11]
+    nine = re.fullmatch(r"Mrs ([Α-Ρ][α-ρ]+) ([Α-Ρ][α-ρ]+), Mrs ([Ա-Ֆ][ա-ֆ]+) ([Ա-Ֆ][ա-ֆ]+), Mr (\w+) ([A-Z][a-z]), Mr ([一-龥]{2}) and г-н (\w+) ([А-Я][а-я]+)", got[9].text)
+    assert nine and not {"Անի", "Սարգսյան", "Čš", "王伟", "Пётр", "Ёлкин"} & set(nine.groups())
+    assert got[4].text is None and got[5].text == "" and got[6].text == PEOPLE[6] and got[8].text == PEOPLE[8]
     assert surrogates.replace_entities(empty, "key").count() == 0
+    other_key = {r.doc_id: r.text for r in surrogates.replace_entities(df, "another").collect()}
+    assert other_key[1] != one and other_key[6] == PEOPLE[6]
+    with pytest.raises(ValueError):
+        surrogates.replace_entities(df, "")
+
+
+def luhn_digit(digits):
+    return next(d for d in range(10) if luhn(digits + str(d)))
+
+
+def brute_surrogate(key, kind, entity):
+    """What the first attempt gives."""
+    inner = hashlib.sha256(f"{key}\0{kind}\0{0}\0{entity}".encode()).hexdigest()
+    seed = hashlib.sha256(f"{key}\0{inner}".encode()).hexdigest()
+
+    def number(i):
+        return int(hashlib.sha256(f"{seed}\0{i}".encode()).hexdigest()[:12], 16)
+
+    def drawn(text):
+        out = ""
+        for i, c in enumerate(text, 1):
+            low, size = (0x30, 10) if c.isdigit() else (0x61, 26) if c.islower() else (0x41, 26)
+            out += chr(low + number(i) % size) if c.isalnum() else c
+        return out
+
+    if kind == "ip":
+        return ".".join(str(number(i) % 254 + 1) for i in range(1, 5))
+    if kind == "secret":
+        return "".join(f"{number(i) % 16:x}" for i in range(1, len(entity) + 1))
+    if kind == "card":
+        digits = re.sub(r"\D", "", entity)
+        off = int(digits[-1]) - luhn_digit(digits[:-1])
+        new = drawn(digits[:-1])
+        new = iter(new + str((luhn_digit(new) + off) % 10))
+        return re.sub(r"\d", lambda _: next(new), entity)
+    top = re.search(r"\.[A-Za-z]+$", entity)[0] if kind == "email" else ""
+    code = m[0] if kind == "phone" and (m := re.match(r"\+\d{1,3}(?=[ .(-])", entity)) else ""
+    return code + drawn(entity[len(code) : len(entity) - len(top)]) + top
+
+
+def test_surrogates_of_the_test_documents(spark):
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in surrogates.replace_entities(docs, "a key").collect()}
+    shapes = {k: regex.compile(p) for k, p in surrogates.PATTERNS.items() if k != "person"}
+    whole = regex.compile(surrogates.ANY)
+    made = {}
+
+    def put(m):
+        kind = next(k for k, p in shapes.items() if p.fullmatch(m[0]))
+        made[m[0]] = brute_surrogate("a key", kind, m[0])
+        return made[m[0]]
+
+    for r in docs.collect():
+        n = sum(1 for _ in whole.finditer(r.text))
+        assert got[r.doc_id].n_entities == n and got[r.doc_id].text == whole.sub(put, r.text)
+    assert len(made) > 50 and len(set(made.values())) == len(made) and not set(made) & set(made.values())
+
+
+def test_surrogates_stay_distinct(spark):
+    rows = [("email", f"{p}{i}@x.com") for i in range(300) for p in ("a", "b")]
+    rows += [("given-f", f"N{chr(97 + i // 20)}{chr(97 + i % 20)}") for i in range(200)]
+    rows += [("surname", f"{chr(65 + i // 26)}{chr(97 + i % 26)}") for i in range(676)]  # every name of two letters is taken
+    df = spark.createDataFrame([(*r, 1) for r in rows], "kind string, entity string, n long")
+    got = surrogates.distinct_surrogates(df, "k").collect()
+    assert len(got) == len(rows) == len({r.s for r in got}) and all(r.s != r.entity for r in got)
+    assert not {r.s for r in got if r.kind == "surname"} & {e for _, e in rows}
+    assert all(re.fullmatch("[A-Z][a-z]+a", r.s) or r.s in surrogates.GIVEN["f", "latin"] for r in got if r.kind == "given-f")
 
 
 def test_pipeline_stages(spark):
