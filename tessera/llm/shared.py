@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -21,8 +19,9 @@ _SHIPPED: set[str] = set()
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, local runs) a temporary folder is
-    taken and set as the checkpoint folder of the session.
+    Only in local mode, where the cluster names none (tests), a temporary folder is
+    taken and set as the checkpoint folder of the session; elsewhere executors could not
+    see it, and the call is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -30,6 +29,8 @@ def scratch(spark: SparkSession) -> str:
     context = spark.sparkContext
     own = context._jsc.sc().getCheckpointDir()
     if own.isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
         own = context._jsc.sc().getCheckpointDir()
     return str(own.get()).rstrip("/")
@@ -37,7 +38,7 @@ def scratch(spark: SparkSession) -> str:
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{scratch(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 @contextlib.contextmanager
@@ -63,13 +64,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def drop_stored(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`stored` that is no longer needed."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    _delete(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that the operators of this application have stored, once their results
+    are written elsewhere."""
+    _delete(spark, f"{scratch(spark)}/tessera/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, *paths: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for at in paths:
         path = jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python, once per application."""
     app = spark.sparkContext.applicationId
@@ -147,16 +165,3 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
-
-
-def release(spark: SparkSession, pause: float = 1.0) -> None:
-    """Let go of the shuffle files of finished jobs whose frames are out of use.
-
-    Spark drops them when the driver's garbage is collected, which by itself may be long
-    after; a job of several large steps would meanwhile hold the files of all of them.
-    Files are removed in the background, hence the pause.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(pause)

@@ -225,7 +225,7 @@ def test_links_lose_no_component(spark, most):
         near ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
     dense = points[0] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
     points = np.unique(np.concatenate([points, near, dense]))
-    df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    df = spark.createDataFrame([(0, int(p)) for p in points.view(np.int64)], "view int, fp long")
     found = {r.node: r.root for r in simhash.components(simhash.stored(simhash.links(df, 4, sample=500, depth=4, most=most), "edges")).collect()}
     want = brute_components([int(p) for p in points], 4)
     names = [found.get(int(p), int(p)) for p in points.view(np.int64)]
@@ -233,6 +233,61 @@ def test_links_lose_no_component(spark, most):
     assert len(pairs) == len(set(want)) == len(set(names))
 
 
+@pytest.mark.parametrize("order", ["along", "shuffled"])
+def test_components_of_a_path_take_few_rounds(spark, monkeypatch, order):
+    names = list(range(256))
+    if order == "shuffled":
+        random.Random(5).shuffle(names)
+    written = []
+    monkeypatch.setattr(simhash, "stored", lambda df, name, keep=simhash.stored: written.append(name) or keep(df, name))
+    path = spark.createDataFrame([*zip(names, names[1:]), (300, 301), (302, 302), (301, 300)], "a long, b long")  # noqa: B905
+    found = {r.node: r.root for r in simhash.components(path).collect()}
+    assert {found[n] for n in names} == {0} and found[301] == found[300] == 300 and 302 not in found
+    assert len(written) < 30
+    assert simhash.components(path.limit(0)).count() == 0
+
+
+def brute_similar(rows, least=0.8):
+    """The smallest identifier of each row's group, by Jaccard over all pairs; null is largest."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                x, y = top(a), top(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+    return sorted(((r[0], rows[top(x)][0]) for x, r in enumerate(rows)), key=repr)
+
+
+def test_near_deduplicate(spark, docs, empty):
+    rnd = random.Random(6)
+    rows = [(r[0], r[1]) for r in fixture_rows()]
+    for i in range(40):  # texts with one word in 20 to 200 replaced, up to three times
+        words = prose(rnd.randint(60, 400), 100 + i % 10).split()
+        for _ in range(rnd.randint(0, 3)):
+            words[rnd.randrange(len(words))] = "other"
+        rows.append((100 + i, " ".join(words)))
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, mark int, id string").repartition(3)
+    got = sorted(((r.id, r.keep_id) for r in simhash.similar(df).collect()), key=repr)
+    assert got == brute_similar(rows)
+    stays = simhash.deduplicate(df)
+    assert stays.columns == df.columns
+    assert sorted((r.doc_id for r in stays.collect()), key=repr) == sorted((a for a, b in got if a == b), key=repr)
+    assert simhash.deduplicate(empty).count() == 0
+
+
 def test_licenses(docs, empty, spark):
     texts = ["Licensed under CC BY-NC 4.0. cc by", "This work is licensed under the GNU General Public License, version 3.", "x " * 200 + "ALL rights Reserved " + "y " * 100, "general public", None, ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -517,9 +572,8 @@ def test_pipeline_stages(spark):
             want = {x[0] for x in brute_exact([(r.doc_id, r.text) for r in docs.collect()]) if x[0] == x[1]}
             assert kept[name] == want
         if name == "near_dedup":
-            rows = sorted(docs.select("doc_id", "text").collect())
-            roots = brute_components([simhash.fingerprint(r.text, 5) for r in rows], 4)
-            assert kept[name] == {r.doc_id for i, r in enumerate(rows) if roots[i] == i}
+            want = brute_similar([(r.doc_id, r.text) for r in docs.collect()])
+            assert kept[name] == {a for a, b in want if a == b}
         docs = out
     last = corpus_pipeline.STAGES[-1][1](spark, docs, d)
     assert last.count() == docs.count()
