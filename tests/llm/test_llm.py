@@ -120,14 +120,43 @@ def test_exact_dedup_compares_bytes_under_a_weak_digest(docs):
 def test_exact_dedup_state_goes_on(spark, tmp_path):
     source, sink, state = (f"file://{tmp_path}/{n}" for n in ("in", "out", "state"))
     for part in ([(b"a", 5), (b"b", 7)], [(b"a", 3), (b"c", 1)]):
-        rows = spark.createDataFrame(part, "digest binary, id long").withColumn("at", F.struct(F.lit("f").alias("file"), F.col("id").alias("row")))
+        rows = spark.createDataFrame(part, "digest binary, id long").withColumn("at", F.struct(F.lit("f").alias("file"), F.col("id").alias("row"), F.lit("text").alias("column")))
         rows.coalesce(1).write.mode("append").parquet(source)
         exact_dedup.update_state(spark, source, rows.schema, state, sink)
-    place = "struct<file:string,row:bigint>"
+    place = "struct<file:string,row:bigint,column:string>"
     got = exact_dedup._latest(spark, sink, f"digest binary, first struct<none:boolean,id:bigint,at:{place}>, size bigint").collect()
     assert {(bytes(r.digest), r.first.id, r["size"]) for r in got} == {(b"a", 3, 2), (b"b", 7, 1), (b"c", 1, 1)}
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup_over_several_calls(spark, tmp_path, weak):
+    """The state outlives a call, and bytes are compared with those of earlier calls."""
+
+    def short(t):
+        return F.pmod(F.length(t), F.lit(2)).cast("string").cast("binary")
+
+    lots = [[(5, "a b"), (7, "cc"), (8, "d")], [(3, "a  b"), (9, "cc"), (10, "x y"), (None, "d")], [(1, "cc"), (11, "zz")]]
+    so_far = []
+    for number, lot in enumerate(lots):
+        df = spark.createDataFrame(lot, "key long, body string")
+        if number != 1:  # from files of its own, or handed over as rows
+            df.write.parquet(path := f"file://{tmp_path}/lot{number}")
+            df = spark.read.parquet(path)
+        so_far += lot
+        want = {x[0]: x[:3] for x in brute_exact(so_far)}
+        got = exact_dedup.resolve(df, "key", "body", digest=short if weak else exact_dedup.sha256, state=f"file://{tmp_path}/state").collect()
+        assert sorted(((r.id, r.keep_id, r["size"]) for r in got), key=repr) == sorted((want[i] for i, _ in lot), key=repr)
+        assert all(r.kept == (r.id == r.keep_id) for r in got)
+    assert exact_dedup.resolve(df.limit(0), "key", "body", state=f"file://{tmp_path}/state").count() == 0
+
+
+def test_exact_dedup_keeps_columns_of_any_name(spark):
+    rows = [(1, "a", 10, "p"), (1, "a", 11, "q"), (2, "a", 12, "r"), (None, None, 13, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest int, id string").withColumn("_digest", F.lit(5))
+    got = exact_dedup.deduplicate(df).collect()
+    assert sorted((r.doc_id or 0, r._digest) for r in got) == [(0, 5), (1, 5)] and {r.digest for r in got} <= {10, 11, 13}
+
+
 def brute_substrings(rows, window):
     """``id, text`` rows in order of the identifier: words, words removed and what is kept."""
     seen, want = set(), {}
