@@ -12,6 +12,10 @@ are ordered by how many blocks of the whole corpus hold them, rarest first.  The
 
 Survivors are counted exactly.  A template may also be a phrase, whose words must stand
 next to each other: its survivors are searched for the phrase.
+
+Labels are stricter than matches.  A short template's words must also stand in its order
+and close together, since any page on licences holds them somewhere; and a template all of
+whose words another one has gives no label where the larger one is met.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: Words of a block; the next one starts half a block on.
 BLOCK = 64
+#: Templates of at most so many distinct words are checked for order.
+SHORT = 12
 
 
 @dataclass(frozen=True)
@@ -148,9 +154,9 @@ class Index:
                     out[t] = n / len(self.sets[t])
         return out
 
-    def scan(self, text: str | None) -> tuple[int, dict[int, set[int]], dict[int, list[tuple[int, float]]]]:
-        """Number of words; for each phrase its places; for each other template, every
-        block that meets it, by its first word, with the containment."""
+    def scan(self, text: str | None) -> tuple[list[bytes], dict[int, set[int]], dict[int, list[tuple[int, float]]]]:
+        """The words; for each phrase its places; for each other template, every block that
+        meets it, by its first word, with the containment."""
         words = words_of(text)
         places: dict[int, set[int]] = defaultdict(set)
         met: dict[int, list[tuple[int, float]]] = defaultdict(list)
@@ -165,12 +171,48 @@ class Index:
                     at = block.index(phrase[0], at + 1)
                     if tuple(block[at : at + n]) == phrase:
                         places[t].add(number * self.stride + at)
-        return len(words), places, met
+        return words, places, met
+
+
+    def confirmed(self, words: list[bytes], met: dict[int, list[tuple[int, float]]]) -> dict[int, float]:
+        """The templates that give their label, with their best containment: matches that
+        are in order where that is asked for, and beside no match of a larger template."""
+        kept = {}
+        for t, found in met.items():
+            n = len(self.templates[t].words)
+            if len(self.sets[t]) <= SHORT:
+                found = [(b, s) for b, s in found if in_order(words[b : b + self.size], self.templates[t].words, self.need[t], 2 * n)]
+            if found:
+                kept[t] = found
+        out = {}
+        for t, found in kept.items():
+            larger = [b for u, other in kept.items() if set(self.sets[t]) < set(self.sets[u]) for b, _ in other]
+            alone = [s for b, s in found if all(abs(b - c) >= self.size for c in larger)]
+            if alone:
+                out[t] = max(alone)
+        return out
+
+
+def in_order(block: list[bytes], template: tuple[bytes, ...], need: int, span: int) -> bool:
+    """Whether ``need`` words of a template stand in its order within ``span`` words."""
+    own = set(template)
+    for i, word in enumerate(block):
+        if word in own:
+            row = [0] * (len(template) + 1)  # longest common subsequence
+            for w in block[i : i + span]:
+                if w in own:
+                    last = 0
+                    for j, x in enumerate(template, 1):
+                        last, row[j] = row[j], last + 1 if w == x else max(row[j], row[j - 1])
+            if row[-1] >= need:
+                return True
+    return False
 
 
 def word_frequencies(docs: DataFrame, templates: tuple[Template, ...], text_col: str = "text") -> dict[bytes, int]:
     """How many blocks of all texts hold each template word.  Counted over the whole
-    corpus; as many numbers come back as the templates have words."""
+    corpus; as many numbers come back as the templates have words.  Null and empty texts
+    hold none; an empty table gives an empty dict."""
     vocabulary = frozenset(w for t in templates for w in t.words)
     size = block_size(templates)
 
@@ -203,8 +245,9 @@ def scan_documents(
     meets a template, so one notice may be in two overlapping blocks).  ``n_base``
     counts all places of base phrases; first and last are their smallest and largest
     starts, null without any; labels are distinct, sorted and joined by commas (empty
-    without any); the score is the best containment found, 1 for a base phrase, 0 without
-    a match.  A null or empty text has no words; texts of any length are read whole.
+    without any) and stricter than ``blocks`` (order of short templates, larger templates
+    first); the score is the best containment behind a label, 1 for a base phrase, 0 without
+    a label.  A null or empty text has no words; texts of any length are read whole.
     Repeated rows and null identifiers pass through; an empty table gives an empty table;
     other columns are not read.
     """
@@ -218,16 +261,17 @@ def scan_documents(
             names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks")
             out: dict[str, list] = {"id": cols["id"]} | {n: [] for n in names}
             for text in cols["text"]:
-                n, places, met = index.scan(text)
+                words, places, met = index.scan(text)
+                given = index.confirmed(words, met)
                 starts = [p for ps in places.values() for p in ps]
                 own = {every[t].label for t in places}
-                out["n_words"].append(n)
+                out["n_words"].append(len(words))
                 out["n_base"].append(len(starts))
                 out["first_word"].append(min(starts, default=None))
                 out["last_word"].append(max(starts, default=None))
                 out["base_labels"].append(",".join(sorted(own)))
-                out["labels"].append(",".join(sorted(own | {every[t].label for t in met})))
-                out["score"].append(1.0 if starts else max((s for found in met.values() for _, s in found), default=0.0))
+                out["labels"].append(",".join(sorted(own | {every[t].label for t in given})))
+                out["score"].append(1.0 if starts else max(given.values(), default=0.0))
                 out["blocks"].append([{"label": every[t].label, "start": b, "containment": s} for t in sorted(met) for b, s in sorted(met[t])])
             return out
 

@@ -27,7 +27,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_documents(table(spark, sf_dir, "documents")).drop("blocks")
+    found = licenses.scan_documents(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_blocks", F.size("blocks").cast("long")).drop("blocks")
 
 
 def remainder(n: int, id_col: str = "doc_id") -> Column:
