@@ -104,13 +104,19 @@ def spherical(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> tuple[n
 
 
 def fit_centroids(texts: list[str], langs: list[str], clusters: int = 4, low: float = 0.01, share: float = 0.45) -> Centroids:
-    """Centroids from labelled texts.  A centroid's bound is a ``share`` of the ``low``
-    quantile of its own texts' cosines, so a few odd texts in a sample don't open it."""
+    """:func:`fit_counts` for texts; those without a letter are left out."""
     kept = [i for i, t in enumerate(texts) if has_letter(t)]
     x = np.concatenate([counted([texts[i] for i in kept[a : a + 256]]) for a in range(0, len(kept), 256)]) if kept else np.zeros((0, 2 * BUCKETS), np.float32)
+    return fit_counts(x, [langs[i] for i in kept], clusters, low, share)
+
+
+def fit_counts(x: np.ndarray, langs: list[str], clusters: int = 4, low: float = 0.01, share: float = 0.45) -> Centroids:
+    """Centroids from n-gram counts of labelled texts.  A centroid's bound is a ``share`` of
+    the ``low`` quantile of its own texts' cosines, so a few odd texts in a sample don't
+    open it."""
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
     x = unit(np.log1p(x) * idf).astype(np.float32)
-    of = np.array([langs[i] for i in kept])
+    of = np.array(langs)
     names, vectors, bounds = [], [], []
     for lang in sorted(set(of.tolist())):
         own = x[of == lang]
@@ -130,8 +136,10 @@ def train(
     per_language: int = 400, max_languages: int = 200, clusters: int = 4,
 ) -> Centroids:
     """Fit on at most ``per_language`` rows of each language, the smallest by a hash of
-    the identifier among the rows for which ``use`` holds; null languages, texts and
-    identifiers are not used.  More than ``max_languages`` languages are refused."""
+    the identifier among the rows for which ``use`` holds; null languages, identifiers and
+    texts without a letter are not used.  More than ``max_languages`` languages are
+    refused.  Texts are counted where they lie: what comes to the driver is the n-gram
+    counts of sampled rows, at most ``2 * BUCKETS`` numbers each."""
     rows = docs.filter(use & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     mark = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40))
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count(F.lit(1))).limit(max_languages + 1).collect()}
@@ -140,13 +148,27 @@ def train(
     part = F.lit(False)
     for lang, n in sizes.items():
         part = part | ((F.col(lang_col) == lang) & (mark < int((1 << 40) * min(1.0, 1.3 * per_language / n))))
-    got = rows.filter(part).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), mark.alias("mark")).limit(4 * per_language * max(1, len(sizes))).collect()
-    got.sort(key=lambda r: (r.lang, r.mark, r.text or ""))
-    kept: dict[str, list] = {}
-    for r in got:
-        if r.text and len(kept.setdefault(r.lang, [])) < per_language:
-            kept[r.lang].append(r.text)
-    return fit_centroids([t for ts in kept.values() for t in ts], [lang for lang, ts in kept.items() for _ in ts], clusters)
+
+    def grams():
+        def apply(cols):
+            out: dict[str, list] = {"lang": cols["lang"], "mark": cols["mark"], "at": [], "n": []}
+            for text in cols["text"]:
+                x = counted([text])[0] if has_letter(text) else np.zeros(0)
+                out["at"].append(at := np.flatnonzero(x).astype(np.int32))
+                out["n"].append(x[at].astype(np.int32))
+            return out
+
+        return apply
+
+    sample = rows.filter(part).select(F.col(lang_col).alias("lang"), mark.alias("mark"), F.col(text_col).alias("text")).limit(4 * per_language * max(1, len(sizes)))
+    got = map_rows(sample, grams, "lang string, mark bigint, at array<int>, n array<int>").filter("size(at) > 0").toArrow().to_pydict()
+    order = sorted(range(len(got["lang"])), key=lambda i: (got["lang"][i], got["mark"][i], len(got["at"][i])))
+    used: dict[str, int] = {}
+    kept = [i for i in order if used.setdefault(got["lang"][i], 0) < per_language and not used.update({got["lang"][i]: used[got["lang"][i]] + 1})]
+    x = np.zeros((len(kept), 2 * BUCKETS), np.float32)
+    for row, i in enumerate(kept):
+        x[row, got["at"][i]] = got["n"][i]
+    return fit_counts(x, [got["lang"][i] for i in kept], clusters)
 
 
 def identify(docs: DataFrame, centroids: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +193,11 @@ def identify(docs: DataFrame, centroids: Centroids, id_col: str = "doc_id", text
 
 
 def keep_identified(docs: DataFrame, centroids: Centroids, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that identification rejects, all columns kept."""
+    """``docs`` without the rows that identification rejects, all columns kept.
+
+    Rows with a null or letterless text go.  Null identifiers, repeated rows and columns of
+    any name pass through; long texts are read whole; an empty table stays empty.
+    """
 
     def rows():
         def apply(cols):
