@@ -14,13 +14,14 @@ first step already solves the problem.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from math import exp, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import stored
+from tessera.llm.shared import fresh, stored
 
 #: Buckets of hashed words and of hashed word shapes.
 WORDS, SHAPES = 4_096, 2_048
@@ -58,6 +59,12 @@ class Mixture:
     reached: list[float] = field(default_factory=list)
     targets: list[float] = field(default_factory=list)
 
+    @property
+    def residual(self) -> float:
+        """The largest gap between reached and target totals, as a share of all tokens."""
+        total = sum(self.targets)
+        return max((abs(a - t) for a, t in zip(self.reached, self.targets, strict=True)), default=0.0) / total if total else 0.0
+
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         """Evidence by bucket: ``wb, w0, w1, ...`` for words and ``sb, s0, s1, ...`` for
         shapes; as many rows as there are buckets."""
@@ -165,7 +172,11 @@ def scored_rows(rows: DataFrame, mixture: Mixture, *beside: str) -> DataFrame:
 
 
 def membership(docs: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, mark, n_tokens, posterior`` for each row; ``mark`` is a hash of the text."""
+    """``id, mark, n_tokens, posterior`` for each row; ``mark`` is a hash of the text.
+
+    Null and empty texts have no tokens and the prior; long texts are read whole; repeated
+    rows and null identifiers pass through; an empty table gives an empty table; other
+    columns are not read."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return scored_rows(rows, mixture).select("id", "mark", "n_tokens", mixture.posterior(F.col("scores")).alias("posterior"))
 
@@ -187,9 +198,12 @@ def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
     return out
 
 
-def solve(members: DataFrame, mixture: Mixture, weights: dict[str, float], rounds: int = 40, close: float = 1e-7) -> Mixture:
+def solve(members: DataFrame, mixture: Mixture, weights: dict[str, float], rounds: int = 40, close: float = 1e-7, warn: float = 1e-3) -> Mixture:
     """Fit the rates to ``weights`` (by domain; scaled to sum one) of all tokens.  The sums
-    run over all rows; the driver keeps a few numbers per domain and step."""
+    run over all rows; the driver keeps a few numbers per domain and step.  Where targets
+    can't be met (a domain that no document belongs to), rates end at the nearest totals
+    that ``rounds`` steps reach; ``residual`` of the mixture says how far off, and a
+    warning is given if that is more than ``warn``.  Without tokens every rate is one."""
     k = len(mixture.domains)
     whole = sum(weights.get(d, 0.0) for d in mixture.domains) or 1.0
     n, p = F.col("n_tokens").cast("double"), [F.get("posterior", F.lit(i)) for i in range(k)]
@@ -203,14 +217,16 @@ def solve(members: DataFrame, mixture: Mixture, weights: dict[str, float], round
     ridge = 1e-9 * (sum(gram[i][i] for i in range(k)) or 1.0)
     for i in range(k):
         gram[i][i] += ridge
-    for _ in range(rounds):
+    for step in range(rounds + 1):
         r = mixture.rate(F.col("posterior"))
         got = members.agg(*(F.coalesce(F.sum(n * p[i] * r), F.lit(0.0)).alias(f"t{i}") for i in range(k))).first()
         mixture.reached = list(got)
         off = [a - t for a, t in zip(got, mixture.targets, strict=True)]
-        if not total or max(map(abs, off)) <= close * total:
+        if not total or max(map(abs, off)) <= close * total or step == rounds:
             break
         mixture.steps.append(_solved(gram, off))
+    if mixture.residual > warn:
+        warnings.warn(f"the weights are missed by {mixture.residual:.3g} of all tokens", stacklevel=2)
     return mixture
 
 
@@ -233,10 +249,16 @@ def mix_documents(
 
 def drawn(docs: DataFrame, members: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` at their rates, all columns kept: each row stands ``floor(rate + u)`` times,
-    with ``u`` in 0..1 by a hash of identifier and text."""
+    with ``u`` in 0..1 by a hash of identifier and text.
+
+    Null and empty texts have the prior's rate; rows with the same identifier and text
+    stand alike; null identifiers and columns of any name pass through; an empty table
+    stays empty.
+    """
     u = F.pmod(F.xxhash64("id", "mark"), F.lit(1 << 30)) / float(1 << 30)
-    times = members.groupBy("id", "mark").agg(F.first(F.floor(mixture.rate(F.col("posterior")) + u).cast("int")).alias("_times"))
-    marked = docs.withColumn("_mark", F.xxhash64(docs[text_col]))
-    same = marked[id_col].eqNullSafe(times["id"]) & (marked["_mark"] == times["mark"])
-    stood = marked.join(times, same).filter("_times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return stood.select(*(marked[c] for c in docs.columns))
+    times = members.groupBy("id", "mark").agg(F.first(F.floor(mixture.rate(F.col("posterior")) + u).cast("int")).alias("times"))
+    a, b = docs.alias("a"), times.alias("b")
+    same = docs[id_col].eqNullSafe(F.col("b.id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("b.mark"))
+    stood = a.join(b, same).filter("b.times > 0")
+    each = F.explode(F.sequence(F.lit(1), F.col("b.times")))
+    return stood.select("a.*", each.alias(fresh(docs, "time"))).select(*docs.columns)

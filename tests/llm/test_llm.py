@@ -61,10 +61,12 @@ def test_bpe_equals_library(spark, docs, empty):
     with open(vocabulary(), "rb") as lines:
         ranks = bpe.load_ranks(lines)
     library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for r in bpe.encode_documents(docs.withColumn("t2", F.col("text")), vocabulary()).select("*").collect():
-        assert len(r.ids) == r.n_tokens
-        text = bytes().join(library.decode_single_token_bytes(i) for i in r.ids).decode()
-        assert r.decoded == text and library.encode_ordinary(text) == r.ids
+    own = {r[0]: r[1] or "" for r in fixture_rows()}
+    found = bpe.encode_documents(docs.withColumn("ids", F.lit(1)), vocabulary()).collect()
+    assert sorted(r.doc_id or 0 for r in found) == sorted(r[0] or 0 for r in fixture_rows())
+    for r in found:
+        text = own[r.doc_id]
+        assert len(r.ids) == r.n_tokens and r.decoded == text and library.encode_ordinary(text) == r.ids
         assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode_documents(empty, vocabulary()).count() == 0
@@ -336,6 +338,53 @@ def test_licenses(docs, empty, spark):
         assert set(index.matches(words)) == want
 
 
+def brute_licenses(text):
+    """Base places, and labels by comparing every block of 64 words with every template."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    base = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    places = [(i, base[p]) for p in base for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    blocks = [words[b : b + 64] for b in range(0, max(1, len(words) - 32), 32)]
+    met = set()
+    for number, block in enumerate(blocks):
+        for t, x in enumerate(licenses.TEMPLATES):
+            own = [w.decode() for w in x.words]
+            share = len(set(own) & set(block)) / len(set(own))
+            if share >= x.threshold - 1e-9:
+                need = max(1, int(np.ceil(x.threshold * len(set(own)) - 1e-9)))
+                if len(set(own)) > 12 or any(common(block[i : i + 2 * len(own)], own) >= need for i in range(len(block))):
+                    met.add((t, number, share))
+    sets = [set(x.words) for x in licenses.TEMPLATES]
+    alone = {(t, s) for t, b, s in met if not any(sets[t] < sets[u] and abs(b - c) < 2 for u, c, _ in met)}
+    labels = {x for _, x in places} | {licenses.TEMPLATES[t].label for t, _ in alone}
+    starts = [i for i, _ in places]
+    score = 1.0 if starts else max((s for _, s in alone), default=0.0)
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), score
+
+
+def common(a, b):
+    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+    return rows[-1][-1]
+
+
+def test_licenses_whole_texts(spark):
+    cases = [
+        "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Released under the Apache License. the MIT group under study",
+        "x " * 50 + "Released under the MIT License. " + "y " * 90 + "All rights reserved",
+    ]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    labels = {r.doc_id: r.labels for r in licenses.scan_documents(df).collect()}
+    assert labels == {0: "cc-by-sa-4.0", 1: "cc-by-4.0", 2: "", 3: "mit,reserved"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(df.withColumn("doc_id", -1 - F.col("doc_id")))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: tuple(r)[1:8] for r in licenses.scan_documents(docs).collect()}
+    assert got == {i: brute_licenses(t) for i, t in texts.items()}
+
+
 def test_licenses_every_block_of_every_template(spark):
     notice = "Licensed under the Apache License, Version 2.0. "
     long = licenses.Template("long", " ".join(f"clause{i}" for i in range(150)), 0.9)
@@ -375,6 +424,41 @@ def test_language(spark, empty):
     assert language.identify(empty, language.train(empty, F.lit(True))).count() == 0
 
 
+def test_language_centroids_by_brute_force(spark):
+    """Counts, weights, centroids' cosines and bounds by another way, on rows of all kinds."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [(900, None, "en"), (901, "", "en"), (902, "12 !", None), (903, "the", "en"), (None, "the of and", None), (904, "of the " * 40_000, "en")]
+    docs = docs.unionByName(spark.createDataFrame(rows + rows, docs.schema)).withColumn("score", F.lit("x")).withColumn("id", F.lit(1))
+    centroids = language.train(docs, F.col("doc_id") % 3 != 1)
+    found = language.identify(docs, centroids).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(found) == docs.count()
+    for r in found:
+        text = texts[r.doc_id]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        low = text.lower().encode()
+        data = b" " + b" ".join("".join(chr(c) if c >= 128 or chr(c).isalpha() else " " for c in low).encode("latin-1").split()) + b" "
+        counts = np.zeros(2 * language.BUCKETS)
+        for n, base in ((2, 0), (3, language.BUCKETS)):
+            for i in range(len(data) - n + 1):
+                code = 0
+                for c in data[i : i + n]:
+                    code = code * 257 + c
+                counts[base + ((code * 0x9E3779B1) >> 11) % language.BUCKETS] += 1
+        v = np.log1p(counts) * centroids.idf
+        cosine = centroids.vectors @ (v / np.linalg.norm(v))
+        best = int(cosine.argmax())
+        assert abs(r.score - cosine[best]) < 1e-4 and cosine[centroids.languages.index(r.lang_pred)] <= cosine[best] + 1e-6
+        assert r.lang_pred == centroids.languages[best] or cosine[best] - max(c for c, x in zip(cosine, centroids.languages, strict=True) if x == r.lang_pred) < 1e-4
+        bound = min(1.0, (len(data) / language.WHOLE) ** 0.5) * centroids.least
+        if abs(cosine - bound).min() > 1e-4:
+            assert r.rejected == bool((cosine < bound).all())
+    kept = language.keep_identified(docs, centroids)
+    assert kept.columns == docs.columns and kept.count() == sum(not r.rejected for r in found)
+
+
 def test_language_rejects_what_it_does_not_know(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     centroids = language.train(docs, F.col("doc_id") % 3 != 1)
@@ -413,6 +497,20 @@ def test_toxicity_learns_a_pair(spark, empty):
     assert abs(brute - 0.5 * ((v.sum(0) ** 2) - (v * v).sum(0)).sum()) < 1e-9
 
 
+def test_toxicity_of_any_rows(spark):
+    rows = [(1, None), (2, ""), (3, "rotten folks"), (3, "rotten folks"), (None, "rotten"), (4, "rotten " + "x" * 300_000), (5, "alpha " * 50_000)]
+    train = [(i, "rotten folks" if i % 2 else "alpha beta") for i in range(100, 200)]
+    df = spark.createDataFrame([(*r, "a", 7) for r in rows + train], "doc_id long, text string, y string, score int")
+    known = spark.createDataFrame([(i, i % 2, "x") for i, _ in train] + [(None, 1, "x"), (1, None, "x")], "doc_id long, toxic int, text string")
+    machine = toxicity.train(df, known, F.lit(True))
+    got = toxicity.score_documents(df, machine).collect()
+    assert len(got) == len(rows) + len(train) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r.score)
+    assert by[1] == by[2] and by[3][0] == by[3][1] > 0.5 and by[5][0] < 0.5 and all(by[i][0] == by[3][0] for i, t in train if i % 2)
+
+
 def test_toxicity_learns_terms_that_tell_only_together(spark):
     """Neither word has a ratio of its own among thousands of others; toxic is both or none."""
     rnd = random.Random(3)
@@ -427,6 +525,11 @@ def test_toxicity_learns_terms_that_tell_only_together(spark):
     scored = {r.doc_id: r for r in toxicity.score_documents(df, machine).collect()}
     held = [i for i, _ in labels if i % 5 == 0]
     assert np.mean([scored[i].predicted == labels[i][1] for i in held]) > 0.85
+    # additive weights alone can't: no choice of threshold on them does better than chance by much
+    linear = toxicity.FactorizationMachine(machine.terms, machine.bias, machine.weights, np.zeros_like(machine.factors))
+    alone = {r.doc_id: r.score for r in toxicity.score_documents(df, linear).collect()}
+    right = np.array([labels[i][1] for i in held], bool)[np.argsort([alone[i] for i in held])]
+    assert max(abs(2 * (np.cumsum(right) + (~right).sum() - np.cumsum(~right)) - len(right))) / len(right) < 0.6
 
 
 def png():
@@ -477,6 +580,30 @@ def test_mixing(spark, empty):
     assert mixing.mix_documents(empty, known, "domain", weights).count() == 0
 
 
+def test_mixing_of_any_rows(spark):
+    rows = [(1, "red sun"), (1, "red sun"), (2, None), (None, "blue moon"), (3, ""), (4, "red " * 50_000), (5, "blue")]
+    rows += [(i, "red sun sun" if i % 2 else "blue moon") for i in range(10, 60)]
+    names = "doc_id long, text string, _times int, mark int, id string, n_tokens int, times int, w0 int"
+    df = spark.createDataFrame([(*r, 1, 2, "c", 3, 4, 5) for r in rows], names)
+    known = spark.createDataFrame([(i, "warm" if i % 2 else "cold", "x") for i in range(10, 60)] + [(None, "warm", "x"), (1, None, "x")], "doc_id long, domain string, text string")
+    mixture = mixing.train(df, known, "domain")
+    members = mixing.stored(mixing.membership(df, mixture), "members")
+    mixing.solve(members, mixture, {"warm": 0.5, "cold": 0.5})
+    assert mixture.residual < 1e-4 and len(members.collect()) == len(rows)
+    rate = {(r.id, r.mark): r.rate for r in members.select("*", mixture.rate(F.col("posterior")).alias("rate")).collect()}
+    out = mixing.drawn(df, members, mixture)
+    assert out.columns == df.columns
+    times = {}
+    for r in out.collect():
+        times[r.doc_id, r.text] = times.get((r.doc_id, r.text), 0) + 1
+    marked = df.select("doc_id", "text", F.xxhash64("text").alias("x"), F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(1 << 30)).alias("u")).collect()
+    want = {(r.doc_id, r.text): int(rate[r.doc_id, r.x] + r.u / (1 << 30)) for r in marked}
+    copies = {k: sum((r.doc_id, r.text) == k for r in marked) for k in want}
+    assert times == {k: n * copies[k] for k, n in want.items() if n}
+    with pytest.warns(UserWarning):
+        mixing.solve(members, mixing.train(df, known, "domain"), {"cold": 1.0, "warm": 0.0}, rounds=0)
+
+
 PEOPLE = {
     1: "Mail jo.81@mail7.example.com or +1 (980) 555-6268; again jo.81@mail7.example.com.",
     2: "Card 4111 1111 1111 1111, host 10.0.255.7, ssn 123-45-6789, token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\", (212) 555-0100 or 212-555-0100, 3782-822463-10005",
@@ -606,3 +733,37 @@ def test_pipeline_stages(spark):
         docs = out
     last = corpus_pipeline.STAGES[-1][1](spark, docs, d)
     assert last.count() == docs.count()
+
+
+def test_registered_queries_on_the_smallest_tables(spark):
+    """Columns, one row a document, and which rows are held out."""
+    from tessera.llm.queries import queries
+
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    first = {
+        "op1_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op2_licenses": "doc_id n_words n_base first_word last_word base_labels labels score",
+        "op3_language": "doc_id held_out lang_pred score", "op4_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+        "op5_substring_dedup": "doc_id n_words n_removed kept_sha256", "op6_mixing": "doc_id", "op7_surrogates": "doc_id n_entities",
+        "op8_simhash": "doc_id fingerprint component_id", "op9_toxicity": "doc_id held_out score predicted",
+        "op10_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+    }
+    for name, query in queries().items():
+        out = query(spark, d)
+        wanted = first[name].split()
+        assert out.columns[: len(wanted)] == wanted
+        rows = out.collect()
+        assert sorted(r.doc_id for r in rows) == sorted(docs)
+        for r in rows if "held_out" in out.columns else ():
+            n, left = (3, 1) if name == "op3_language" else (5, 0)
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == left)
+        if name == "op3_language":
+            assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in rows if r.held_out and docs[r.doc_id].text]) > 0.9
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
