@@ -2,21 +2,24 @@
 
 Order is always named by the caller (``order``: column names or sort expressions that
 together are unique).  With ``partition_by`` each operator is one window.  Without it a
-plain window would put all rows in one task, so the rows are cut into ranges of the
-first order key: what a range needs from those before it (a count, a sum, a last value)
-is worked out on a table of one row per range, and frames of bounded width run over
-fixed-size blocks that take their neighbours' last rows along.
+plain window would put all rows in one task, so the rows are cut into ranges of all order
+keys, as many as the table's size asks for: what a range needs from those before it (a
+count, a sum, a last value) is worked out on a table of one row per range, and frames of
+bounded width run over fixed-size blocks that take their neighbours' last rows along.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
+from typing import Any, NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Ranges for unpartitioned operators, and the sampled keys that place their bounds.
-RANGES, SAMPLED = 64, 8_192
+#: Sampled keys that place the bounds of ranges (a table of fewer rows is one range), the
+#: rows a range should have, and the most ranges there may be.
+SAMPLED, ROWS, MOST = 16_384, 1_000_000, 4_096
 #: Rows of a block for frames of bounded width.
 BLOCK = 65_536
 
@@ -30,25 +33,70 @@ def sort_keys(order: str | Column | Sequence[str | Column]) -> list[Column]:
     return [F.col(k) if isinstance(k, str) else k for k in given]
 
 
+class Key(NamedTuple):
+    """A sort expression taken apart."""
+
+    value: Column
+    descending: bool
+    nulls_first: bool
+
+
+def sort_key(spark: SparkSession, key: Column) -> Key:
+    node = key._jc.node()
+    if node.getClass().getSimpleName() != "SortOrder":
+        return Key(key, False, True)
+    child = Column(spark._jvm.org.apache.spark.sql.Column(node.child()))
+    return Key(child, "Descending" in node.sortDirection().toString(), "First" in node.nullOrdering().toString())
+
+
+def _reaches(keys: Sequence[Key], bound: Sequence[Any]) -> Column:
+    """Whether a row is at ``bound`` or after it in the order of ``keys``."""
+    out = F.lit(True)
+    for (value, descending, nulls_first), b in reversed(list(zip(keys, bound, strict=True))):
+        if b is None:
+            after, same = F.lit(False) if not nulls_first else value.isNotNull(), value.isNull()
+        else:
+            after = F.coalesce(value < F.lit(b) if descending else value > F.lit(b), F.lit(not nulls_first))
+            same = F.coalesce(value == F.lit(b), F.lit(False))
+        out = after | (same & out)
+    return out
+
+
 def _reject_stream(df: DataFrame) -> None:
     if df.isStreaming:
         raise ValueError("operators that depend on row order need a bounded table")
 
 
-def _ranged(df: DataFrame, order, ranges: int) -> DataFrame:
+def _bounds(df: DataFrame, order, ranges: int | None) -> tuple[list[Key], list[tuple]]:
+    """Where ranges begin.  Of the keys, those with the smallest hashes are drawn in one
+    pass; how small they are also tells how many rows there are."""
+    given = sort_keys(order)
+    keys = [sort_key(df.sparkSession, k) for k in given]
+    names = [f"k{i}" for i in range(len(keys))]
+    drawn = df.select(*(k.value.alias(n) for k, n in zip(keys, names, strict=True)), F.xxhash64(*(k.value for k in keys)).alias("h"))
+    rows = drawn.orderBy("h").limit(SAMPLED)
+    sorts = [{(False, True): F.asc_nulls_first, (False, False): F.asc_nulls_last, (True, True): F.desc_nulls_first, (True, False): F.desc_nulls_last}[k[1:]](n) for k, n in zip(keys, names, strict=True)]
+    found = rows.orderBy(*sorts).collect()
+    if ranges is None:
+        if len(found) < SAMPLED:
+            return keys, []
+        share = (max(r.h for r in found) + (1 << 63) + 1) / (1 << 64)
+        ranges = min(MOST, max(df.sparkSession.sparkContext.defaultParallelism, ceil(len(found) / share / ROWS)))
+    step = max(1, len(found) // ranges)
+    return keys, list(dict.fromkeys(tuple(r[:-1]) for r in found[step::step]))
+
+
+def _ranged(df: DataFrame, order, ranges: int | None) -> DataFrame:
     """``df`` with the number of its range; ranges follow the order."""
-    first = sort_keys(order)[0]
-    if isinstance(order, (list, tuple)) and isinstance(order[0], Column) or isinstance(order, Column):
-        return df.withColumn(_RANGE, F.lit(0))  # a sort expression: its value can't be compared apart
-    keys = df.select(first.alias("k")).filter("k IS NOT NULL")
-    drawn = keys.orderBy(F.xxhash64("k"), "k").limit(SAMPLED).orderBy("k")
-    values = [r.k for r in drawn.collect()]
-    step = max(1, len(values) // ranges)
-    bounds = sorted(set(values[step::step]))
-    place = F.lit(0)
-    for bound in bounds:
-        place = place + F.when(first >= F.lit(bound), 1).otherwise(0)
-    return df.withColumn(_RANGE, place)
+    keys, bounds = _bounds(df, order, ranges)
+
+    def place(low: int, high: int) -> Column:  # by halves, so that few bounds are compared
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(_reaches(keys, bounds[middle]), place(middle + 1, high)).otherwise(place(low, middle))
+
+    return df.withColumn(_RANGE, place(0, len(bounds)))
 
 
 def _before(ranged: DataFrame, value: Column, name: str) -> DataFrame:
@@ -58,7 +106,7 @@ def _before(ranged: DataFrame, value: Column, name: str) -> DataFrame:
     return per.select(_RANGE, F.coalesce(F.sum("v").over(ahead), F.lit(0)).alias(name))
 
 
-def with_index(df: DataFrame, order, name: str = "index", partition_by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+def with_index(df: DataFrame, order, name: str = "index", partition_by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """A dense row number from 0 in the given order."""
     _reject_stream(df)
     if partition_by:
@@ -71,7 +119,7 @@ def with_index(df: DataFrame, order, name: str = "index", partition_by: Sequence
     return numbered.join(F.broadcast(ahead), _RANGE).withColumn(name, F.col("__own") + F.col("__ahead")).drop(_RANGE, "__own", "__ahead")
 
 
-def cum_sum(df: DataFrame, col: str, order, name: str = "cum_sum", partition_by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+def cum_sum(df: DataFrame, col: str, order, name: str = "cum_sum", partition_by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Running sum; nulls add nothing.  Integers are summed as 64 bits."""
     _reject_stream(df)
     running = Window.unboundedPreceding, Window.currentRow
@@ -85,7 +133,7 @@ def cum_sum(df: DataFrame, col: str, order, name: str = "cum_sum", partition_by:
     return summed.withColumn(name, F.coalesce("__own", F.lit(0)) + F.col("__ahead")).drop(_RANGE, "__own", "__ahead")
 
 
-def forward_fill(df: DataFrame, col: str, order, name: str | None = None, partition_by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+def forward_fill(df: DataFrame, col: str, order, name: str | None = None, partition_by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """The last value that is not null, up to and including this row; leading nulls stay."""
     _reject_stream(df)
     name = name or col
@@ -98,7 +146,8 @@ def forward_fill(df: DataFrame, col: str, order, name: str | None = None, partit
     own = ranged.withColumn("__own", F.last(col, ignorenulls=True).over(at.rowsBetween(*running)))
     whole = own.withColumn("__n", F.row_number().over(at)).filter(F.col("__own").isNotNull())
     last = whole.groupBy(_RANGE).agg(F.max_by("__own", "__n").alias("__last"))
-    every = ranged.select(_RANGE).distinct().join(F.broadcast(last), _RANGE, "left")
+    numbers = df.sparkSession.range(max(MOST, ranges or 0) + 1).select(F.col("id").cast("int").alias(_RANGE))
+    every = numbers.join(F.broadcast(last), _RANGE, "left")
     ahead = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     carried = every.select(_RANGE, F.last("__last", ignorenulls=True).over(ahead).alias("__carried"))
     return own.join(F.broadcast(carried), _RANGE).withColumn(name, F.coalesce("__own", "__carried")).drop(_RANGE, "__own", "__carried")

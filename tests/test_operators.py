@@ -72,6 +72,41 @@ def test_unpartitioned_order_equals_a_loop(spark, monkeypatch, seed):
     assert got(ordered.rolling_mean(df, "v", 4, "pos"), "rolling_mean") == pytest.approx(mean)
 
 
+@pytest.mark.parametrize("ranges", [None, 1, 7, 50])
+def test_ordered_by_any_keys(spark, ranges):
+    """Several keys, a value that most rows share, nulls and descending expressions."""
+    rnd = random.Random(7)
+    rows = [(None if i % 9 == 0 else "hot" if i % 3 else f"k{rnd.randint(0, 5)}", rnd.random(), i, i % 5 or None) for i in range(400)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "a string, b double, pos int, v int").repartition(5)
+    orders = {
+        "names": (["a", "b"], lambda r: (r[0] is not None, r[0] or "", r[1])),
+        "falling": ([F.col("a").desc(), F.col("b").asc()], lambda r: (r[0] is None, [-ord(c) for c in r[0] or ""] + [0] * (4 - len(r[0] or "")), r[1])),
+        "first": ([F.col("a").desc_nulls_first(), F.col("pos").desc()], lambda r: (r[0] is not None, [-ord(c) for c in r[0] or ""] + [0] * (4 - len(r[0] or "")), -r[2])),
+        "one": (F.col("b").desc(), lambda r: -r[1]),
+    }
+    for order, key in orders.values():
+        want = sorted(rows, key=key)
+        run, last, expected = 0, None, {}
+        for at, r in enumerate(want):
+            run, last = run + (r[3] or 0), r[3] if r[3] is not None else last
+            expected[r[2]] = (at, run, last)
+        index = {r.pos: r["index"] for r in ordered.with_index(df, order, ranges=ranges).collect()}
+        sums = {r.pos: r.cum_sum for r in ordered.cum_sum(df, "v", order, ranges=ranges).collect()}
+        fill = {r.pos: r.v for r in ordered.forward_fill(df, "v", order, ranges=ranges).collect()}
+        assert {p: (index[p], sums[p], fill[p]) for p in index} == expected
+
+
+def test_ranges_follow_the_size(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SAMPLED", 64)
+    monkeypatch.setattr(ordered, "ROWS", 100)
+    keys, bounds = ordered._bounds(spark.range(5000), "id", None)
+    assert 20 < len(bounds) < 90 and bounds == sorted(bounds)
+    assert ordered._bounds(spark.range(60), "id", None)[1] == []
+    got = ordered.cum_sum(spark.range(5000), "id", "id").collect()
+    assert {r.id: r.cum_sum for r in got} == {i: i * (i + 1) // 2 for i in range(5000)}
+
+
 def test_order_needs_a_bounded_table(spark):
     stream = spark.readStream.format("rate").load()
     with pytest.raises(ValueError):
