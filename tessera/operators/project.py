@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import coerce
 from tessera.operators.ordered import sort_keys, with_index
 
 
@@ -87,11 +89,25 @@ def add_column(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, value)
 
 
-def column_values(df: DataFrame, name: str, order=None, kind: str | None = None) -> list:
-    """One column as a list on the driver, cast to ``kind`` if given."""
+def typed_column(df: DataFrame, name: str, kind: str | None = None, strict: bool = False) -> Column:
+    """One column as values of ``kind`` by the rules of :mod:`tessera.functions.coerce`: what
+    can't be coerced is null, or with ``strict`` stops the query.  Without a kind, as it is."""
     _known(df, [name])
+    value = F.col(f"`{name}`")
+    if kind is None:
+        return value
+    source = dict(df.dtypes)[name]
+    if kind.startswith("decimal"):
+        return coerce.as_decimal(value, source, int(re.search(r",\s*(\d+)", kind)[1]) if "," in kind else 0, strict)
+    if kind not in coerce.AS:
+        raise ValueError(f"no coercion to {kind}; there are {', '.join(coerce.AS)}")
+    return coerce.AS[kind](value, source, strict=strict)
+
+
+def column_values(df: DataFrame, name: str, order=None, kind: str | None = None, strict: bool = False) -> list:
+    """One column as a list on the driver, coerced to ``kind`` if given."""
+    value = typed_column(df, name, kind, strict)
     rows = df.orderBy(*sort_keys(order)) if order is not None else df
-    value = F.col(name) if kind is None else F.col(name).cast(kind)
     return [r[0] for r in rows.select(value).collect()]
 
 

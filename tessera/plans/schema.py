@@ -183,16 +183,17 @@ def default_of(column: ColumnSpec, by_field: dict[str, Any] | None = None, by_ki
 
 
 def conform(
-    df: DataFrame, spec: TableSpec, by_field: dict[str, Any] | None = None, by_kind: dict[str, Any] | None = None, strict: bool = False
-) -> DataFrame:
+    df: DataFrame, spec: TableSpec, by_field: dict[str, Any] | None = None, by_kind: dict[str, Any] | None = None, strict: bool = False,
+    row: Column | None = None,
+) -> DataFrame:
     """``df`` brought to a specification.  Columns are matched by display name, then by
     field name (case counts); missing ones and blanks take their default, others are left
-    out; text is parsed by the column's formats."""
+    out; text is parsed by the column's formats.  ``row`` numbers rows in errors."""
     kinds = dict(df.dtypes)
     out = []
     for c in spec.columns:
         source = next((n for n in (c.effective_name, c.field) if n in kinds), None)
-        value = F.lit(None).cast(c.kind) if source is None else cell_value(F.col(f"`{source}`"), kinds[source], c, strict)
+        value = F.lit(None).cast(c.kind) if source is None else cell_value(F.col(f"`{source}`"), kinds[source], c, strict, row)
         default = default_of(c, by_field, by_kind)
         if default is not None:
             value = F.coalesce(value, F.lit(default).cast(c.kind))
@@ -200,22 +201,23 @@ def conform(
     return df.select(*out)
 
 
-def cell_value(col: Column, source_kind: str, spec: ColumnSpec, strict: bool = False) -> Column:
+def cell_value(col: Column, source_kind: str, spec: ColumnSpec, strict: bool = False, row: Column | None = None) -> Column:
     """One column read as its specification says."""
     if source_kind == spec.kind:
         return col
+    own = strict and row is None  # else the error here names the row
+    blank_to_null = F.nullif(F.trim(col), F.lit("")) if source_kind == "string" else col
     if source_kind == "string" and spec.kind == "date":
-        return text.parse_date(col, spec.date_format, spec.alternatives, strict)
-    if source_kind == "string" and spec.kind == "timestamp_ntz":
+        value = text.parse_date(col, spec.date_format, spec.alternatives, own)
+    elif source_kind == "string" and spec.kind == "timestamp_ntz":
         pattern = spec.date_format if spec.date_format != text.DATE_FORMAT else "yyyy-MM-dd HH:mm:ss"
-        return text.parse_datetime(col, pattern, spec.alternatives, spec.strip_timezone, strict)
-    blank_to_null = F.nullif(F.trim(col), F.lit("")) if source_kind == "string" else col
-    if spec.kind in coerce.AS:
+        value = text.parse_datetime(col, pattern, spec.alternatives, spec.strip_timezone, own)
+    elif spec.kind in coerce.AS:
         value = coerce.AS[spec.kind](blank_to_null, source_kind)
     else:
         value = blank_to_null.try_cast(spec.kind)
     if strict:
-        said = F.concat(F.lit(f"{spec.field}: cannot read '"), blank_to_null.cast("string"), F.lit(f"' as {spec.kind}"))
+        said = F.concat(F.lit(f"{spec.field}: cannot read '"), blank_to_null.cast("string"), F.lit(f"' as {spec.kind}"), *([F.lit(" in row "), row.cast("string")] if row is not None else []))
         value = F.when(blank_to_null.isNotNull() & value.isNull(), F.raise_error(said).cast(spec.kind)).otherwise(value)
     return value
 

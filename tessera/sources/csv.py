@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.schema import FieldSelector, TableSpec, conform
@@ -21,30 +21,34 @@ def read_table(
     escape: str = "\\",
     skip_lines: int = 0,
     intern_values: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A CSV file (or folder of them) as text columns.
 
     Header names are trimmed, an empty one becomes ``ColumnN``; without a header all are
     ``Column1..N`` by the first line.  Short rows are padded with null, further cells
-    dropped; of a name that occurs twice the last cell counts.  ``skip_lines`` lines are
-    left out before the header; then a quoted cell may not hold a line break, since lines
-    are numbered apart.  Lines without any character are passed over.
+    dropped; of a name that occurs twice the last cell counts.  ``skip_lines`` lines of
+    each file are left out before its header; then a quoted cell may not hold a line break,
+    since lines are numbered apart.  Lines without any character are passed over.
+    ``multi_line`` allows line breaks in quoted cells, for which a file must be read by one
+    task; turn it off for large files without them, which are then read in pieces.
     ``intern_values`` changes nothing: rows are binary here.
     """
     guarded(path)
     options = {"sep": separator, "quote": quote, "escape": escape, "mode": "PERMISSIVE"}
     if skip_lines:
-        lines = spark.read.text(path, wholetext=False)
-        numbered = lines.withColumn("at", F.struct(F.input_file_name(), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
-        dropped = numbered.orderBy("at").limit(skip_lines).select(F.max("at").alias("last"))
-        kept = numbered.join(F.broadcast(dropped), F.col("at") > F.col("last")).orderBy("at").select("value")
-        first = kept.limit(1).collect()
+        top = skip_lines + headers
+        lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+        order = Window.partitionBy("file").orderBy("at")  # of each file its first block
+        heads = lines.filter("start = 0").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= skip_lines + 1)
+        first = heads.filter(F.col("n") == skip_lines + 1).orderBy("file").limit(1).collect()
         names = _first_cells(spark, first[0].value if first else "", options)
-        body = (kept.offset(1) if headers else kept).filter("value <> ''")
+        gone = F.broadcast(heads.filter(F.col("n") <= top).select("at"))  # a few lines of each file
+        body = lines.join(gone, "at", "left_anti").filter("value <> ''")
         schema = ", ".join(f"c{i} string" for i in range(len(names)))
         parsed = body.select(F.from_csv("value", schema, options).alias("r")).select("r.*")
     else:
-        read = spark.read.options(**options, multiLine=True)
+        read = spark.read.options(**options, multiLine=multi_line)
         shown = read.option("header", False).csv(path)
         first = shown.limit(1).collect()
         names = list(first[0]) if first else []

@@ -40,8 +40,10 @@ def read(
     strict: bool = False,
 ) -> DataFrame:
     """Columns of the specification only (the scan reads no others), with defaults for
-    those that are missing or null, and text parsed where a type differs."""
-    return conform(read_table(spark, path, max_size), spec, defaults, type_defaults, strict)
+    those that are missing or null, and text parsed where a type differs.  With ``strict``
+    a value that can't be read stops the query, with its field and row in the file."""
+    rows = read_table(spark, path, max_size)
+    return conform(rows, spec, defaults, type_defaults, strict, row=F.col("_metadata.row_index") if strict else None)
 
 
 def for_each(df: DataFrame, visit: Callable[[Row], None]) -> None:
@@ -76,13 +78,18 @@ def write(
     metadata: dict[str, str] | None = None,
     decimals_as_text: bool = False,
     mode: str = "overwrite",
+    row_group_rows: int | None = None,
+    allow_empty: bool = False,
 ) -> None:
     """Write under field names.  A null in a required column stops the write; an unknown
-    codec is refused; ``metadata`` is kept on the first field."""
+    codec is refused, and so is a table without rows unless ``allow_empty``; ``metadata``
+    stands in the schema that the footer holds, with its first field."""
     guarded(path)
     codec = CODECS.get(compression.upper())
     if codec is None:
         raise ValueError(f"codec {compression} is none of {', '.join(CODECS)}")
+    if not allow_empty and df.isEmpty():
+        raise ValueError("there is no row to write")
     spec = spec or TableSpec.of(df.schema)
     chosen = select.select() if select else list(spec.columns)
     struct = TableSpec(chosen).struct() if chosen else None
@@ -98,4 +105,12 @@ def write(
     writer = df.select(*out).write.mode(mode).option("compression", codec)
     if row_group_bytes:
         writer = writer.option("parquet.block.size", row_group_bytes)
+    if row_group_rows:
+        writer = writer.option("parquet.block.row.count.limit", row_group_rows)
     writer.parquet(path)
+
+
+def metadata_of(spark: SparkSession, path: str) -> dict[str, str]:
+    """The ``metadata`` that a table was written with."""
+    fields = spark.read.parquet(guarded(path)).schema.fields
+    return {k.removeprefix("file."): v for f in fields[:1] for k, v in (f.metadata or {}).items() if k.startswith("file.")}

@@ -110,3 +110,70 @@ def test_selector():
     assert pick.columns("Email", "zzz").names() == ["email"] and pick.with_formatting().names() == ["salary"]
     assert pick.fields("id", "email").exclude("id").count() == 1 and not pick.fields("zzz").has_matches()
     assert pick.order_by_name().names()[0] == "active" and TableSpec.of(SPEC.struct()).column("salary").number_format == "$#,##0.00"
+
+
+def test_excel_cells_keep_formats_formulas_and_errors(spark, tmp_path):
+    rows = [
+        (0, 0, "A", "text", None, None), (0, 1, "B", "text", None, None), (0, 2, "Total", "text", None, None),
+        (1, 0, "10", "number", "#,##0.00", None), (1, 1, "2024-05-06", "date", "yyyy-mm-dd", None), (1, 2, "30", "number", None, "A2+20"),
+        (2, 0, "true", "boolean", None, None), (2, 1, "2024-05-06T07:08:09", "datetime", "yyyy-mm-dd hh:mm", None), (2, 2, "#DIV/0!", "error", None, "A2/0"),
+        (3, 2, None, "text", None, "NOW()"),
+    ]
+    cells = spark.createDataFrame(rows, excel.CELLS)
+    excel.write_cells(cells, path := str(tmp_path / "c.xlsx"))
+    back = sorted(map(tuple, excel.read_cells(spark, path).collect()))
+    assert back == rows
+    spec = TableSpec([ColumnSpec("total", "int", "Total")])
+    assert [r.total for r in excel.read(spark, path, spec).collect()] == [30, None]
+    met = []
+    got = excel.read(spark, path, spec, on_error=lambda c: met.append((c.reference, c.formula)) or "-1").collect()
+    assert [r.total for r in got] == [30, -1, -1] and met == [("C3", "A2/0"), ("C4", "NOW()")]
+    with pytest.raises(ReadError, match="C3"):
+        excel.read(spark, path, spec, on_error=excel.refuse)
+
+
+def test_excel_styles(spark, tmp_path):
+    import zipfile
+
+    spec = TableSpec([ColumnSpec("a", alignment="CENTER", wrap=True, background="#00ff00", color="112233"), ColumnSpec("b", "int", bold=True, frozen=True)])
+    excel.write(spark.createDataFrame([("x", 1)], spec.struct()), path := str(tmp_path / "s.xlsx"), spec)
+    styles = zipfile.ZipFile(path).read("xl/styles.xml").decode()
+    assert '<alignment horizontal="center" wrapText="1"/>' in styles and 'fgColor rgb="FF00FF00"' in styles and '<color rgb="FF112233"/>' in styles and "<b/>" in styles
+
+
+def test_parquet_row_groups_metadata_and_empty_tables(spark, staff, tmp_path):
+    import pyarrow.parquet as pq
+
+    parquet.write(spark.range(1000).coalesce(1), path := f"{tmp_path}/g", row_group_rows=300, metadata={"made": "here"})
+    assert pq.ParquetFile(next((tmp_path / "g").glob("*.parquet"))).num_row_groups == 4 and parquet.metadata_of(spark, path) == {"made": "here"}
+    with pytest.raises(ValueError, match="no row"):
+        parquet.write(staff.limit(0), f"{tmp_path}/e")
+    parquet.write(staff.limit(0), f"{tmp_path}/e", allow_empty=True)
+    assert parquet.read_table(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_parquet_errors_name_the_row(spark, tmp_path):
+    spark.createDataFrame([("1", "2024-01-02"), ("x", "2024-01-02"), ("3", "soon")], "n string, d string").coalesce(1).write.parquet(path := f"{tmp_path}/p")
+    for spec, said in ((ColumnSpec("n", "int"), "'x' as int in row 1"), (ColumnSpec("d", "date"), "'soon' as date in row 2")):
+        with pytest.raises(PySparkException, match=said):
+            parquet.read(spark, path, TableSpec([spec]), strict=True).collect()
+
+
+def test_formats_by_name(spark, staff, tmp_path):
+    from tessera import sources
+
+    for name, options, reading in (("csv", {"separator": ";"}, {"separator": ";", "escape": '"'}), ("parquet", {"compression": "ZSTD"}, {}), ("excel", {}, {})):
+        sources.of(name).to_file(path := f"{tmp_path}/f.{name}", **options).write(staff, SPEC)
+        assert sorted(map(tuple, sources.of(name).from_file(spark, path, **reading).read(SPEC).collect())) == ROWS
+        assert sources.of(name).from_file(spark, path, **reading).table().count() == 2
+    with pytest.raises(ValueError):
+        sources.of("orc")
+
+
+def test_csv_skips_lines_of_each_file(spark, tmp_path):
+    for n in range(2):
+        (tmp_path / f"{n}.csv").write_text(f"note {n}\nid;name\n" + "".join(f"{n}{i};x\n" for i in range(300)))
+    got = csv.read_table(spark, f"file://{tmp_path}", separator=";", skip_lines=1)
+    assert got.columns == ["id", "name"] and got.count() == 600 and got.filter("id like 'note%' or id = 'id'").count() == 0
+    plain = csv.read_table(spark, f"file://{tmp_path}", separator=";", headers=False, multi_line=False)
+    assert plain.count() == 604
