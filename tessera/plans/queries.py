@@ -146,11 +146,6 @@ def any_all_count_if(spark, d):
     return a.join(b).join(n)
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 7")
-def size_props(spark, d):
-    return project.row_at(t(spark, d, "orders"), 7, "o_orderkey").select("o_orderkey", "o_orderdate")
-
-
 @query("SELECT min(event_id) AS first_id, max(event_id) AS last_id FROM events")
 def first_last(spark, d):
     df = t(spark, d, "events")
@@ -243,9 +238,10 @@ def key_ops(spark, d):
     return t(spark, d, "orders").groupBy(joins.key_text(key, 2).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0)")
 def anti_join(spark, d):
-    return joins.semi_join(t(spark, d, "customer"), t(spark, d, "orders"), "c_custkey", "o_custkey", anti=True).select("c_custkey")
+    some = project.keep(t(spark, d, "orders"), c("o_custkey") % 3 == 0)
+    return joins.semi_join(t(spark, d, "customer"), some, "c_custkey", "o_custkey", anti=True).select("c_custkey")
 
 
 # aggregation
@@ -323,12 +319,12 @@ def grp_aggregate(spark, d):
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 2")
-def grp_apply(spark, d):
+def grp_top(spark, d):
     return agg.group_by(t(spark, d, "orders"), "o_custkey").top(2, c("o_totalprice").desc(), c("o_orderkey")).select("o_custkey", "o_orderkey")
 
 
 @query("SELECT p_partkey, max(p_size) OVER (PARTITION BY p_brand) AS top FROM part")
-def grp_compute(spark, d):
+def grp_transform(spark, d):
     return agg.group_by(t(spark, d, "part"), "p_brand").transform(top=F.max("p_size")).select("p_partkey", "top")
 
 
@@ -400,11 +396,6 @@ def slice_deep(spark, d):
     return sorting.slice_deep(t(spark, d, "orders"), 1000, 1500, "o_orderkey").select("o_orderkey")
 
 
-@query()
-def sample(spark, d):
-    return sorting.sample(t(spark, d, "orders"), 100, "o_orderkey", seed=42)
-
-
 # sets and shape
 
 
@@ -511,11 +502,6 @@ def format_date(spark, d):
     return t(spark, d, "orders").select("o_orderkey", text.write_as_string(c("o_orderdate"), "timestamp_ntz", date_pattern="yyyy/MM/dd").alias("shown"))
 
 
-@query("SELECT p_partkey, CAST(DATE '1899-12-30' + CAST(CASE WHEN p_size <= 60 THEN p_size + 1 ELSE p_size END AS INT) AS DATE) AS d FROM part")
-def excel_dateserial(spark, d):
-    return t(spark, d, "part").select("p_partkey", text.excel_serial_date(c("p_size").cast("string")).alias("d"))
-
-
 # sources
 
 
@@ -572,8 +558,4 @@ def io_error(spark, d):
     return quarantine(raw, TableSpec([ColumnSpec("event_id", "bigint"), ColumnSpec("n", "int")]), "event_id")
 
 
-@query()
-def tabular_string(spark, d):
-    from tessera.operators import display
-
-    return spark.createDataFrame([(display.tabular(t(spark, d, "nation"), "n_nationkey", 10),)], "shown string")
+from tessera.plans import source_queries  # noqa: E402, F401  (registers its queries)

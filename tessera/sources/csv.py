@@ -88,7 +88,7 @@ def write(
     single_file: bool = True,
     mode: str = "overwrite",
 ) -> None:
-    """Write with display names; null is empty and every other cell is quoted.
+    """Write with display names; every cell is quoted, null as an empty one.
 
     The file lies in the folder ``path``.  ``single_file`` gathers the rows in one task,
     for exports of a size that one file suits; a large table is written with it off.
