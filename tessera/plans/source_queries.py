@@ -295,7 +295,7 @@ def snk_excel(spark, d):
     return excel.read_table(spark, path, "Suppliers")
 
 
-@query("""SELECT CAST(n_nationkey AS BIGINT) AS row, CAST(0 AS INT) AS "column", CAST(n_nationkey * 1000 AS VARCHAR) AS value, 'number' AS kind, '#,##0' AS format, NULL AS formula FROM nation
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS row, CAST(0 AS INT) AS "column", CAST(n_nationkey * 1000 AS VARCHAR) AS value, 'number' AS kind, '#,##0' AS format, CAST(NULL AS VARCHAR) AS formula FROM nation
 UNION ALL SELECT n_nationkey, 1, n_name, 'text', NULL, NULL FROM nation
 UNION ALL SELECT n_nationkey, 2, strftime(DATE '2024-01-01' + n_nationkey, '%Y-%m-%d'), 'date', 'dd/mm/yyyy', NULL FROM nation""")
 def src_excel_table(spark, d):
@@ -331,7 +331,7 @@ def src_excel_formula(spark, d):
     return excel.read(spark, path, spec).join(handled, "a")
 
 
-@query("SELECT * FROM (VALUES (1, 'A2+29', 'number', '30'), (2, 'A3/0', 'error', '#DIV/0!'), (3, 'NOW()', 'text', NULL)) AS v(\"row\", formula, kind, value)")
+@query("SELECT CAST(\"row\" AS BIGINT) AS \"row\", formula, kind, value FROM (VALUES (1, 'A2+29', 'number', '30'), (2, 'A3/0', 'error', '#DIV/0!'), (3, 'NOW()', 'text', NULL)) AS v(\"row\", formula, kind, value)")
 def snk_excel_table(spark, d):
     """Formulas stand as formulas in what is written from cells, twice over."""
     excel.write_cells(literal.of(spark, _FORMULAS, excel.CELLS), path := _book(spark))
