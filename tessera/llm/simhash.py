@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import drop_stored, join_counted, map_rows, ship, stored
-from tessera.llm.substring_dedup import Hashes, mixed, rolled
+from tessera.llm.substring_dedup import mixed, rolled, word_hashes
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -400,16 +400,16 @@ def near_duplicates(
     return join_counted(each, home, "fp", "n").select(F.col("id").alias(id_col), hex16.alias("fingerprint"), "component_id")
 
 
-def _shingles(text: str | None, words: int, memo: Hashes) -> np.ndarray:
+def _shingles(text: str | None, words: int) -> np.ndarray:
     """Hashes of all word shingles, letters A-Z lower-cased; a text of fewer words is one."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    h = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
+    h = word_hashes(found, len(found))
     return rolled(h, min(words, len(h))) if len(h) else h
 
 
-def view_prints(text: str | None, words: int, views: int, memo: Hashes) -> list[int]:
+def view_prints(text: str | None, words: int, views: int) -> list[int]:
     """SimHash fingerprints of the same shingles under several seeds; zeros without words."""
-    h, out = _shingles(text, words, memo), []
+    h, out = _shingles(text, words), []
     for v in range(views):
         counts, each = np.zeros(64, np.int64), mixed(h ^ np.uint64(0x9E3779B97F4A7C15 * (v + 1) % (1 << 64)))
         for at in range(0, len(each), 1 << 14):
@@ -453,8 +453,7 @@ def similar(
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("mark"), docs[text_col].alias("text"))
 
     def prints():
-        memo = Hashes()
-        return lambda cols: {"id": cols["id"], "mark": cols["mark"], "fps": [view_prints(t, view_words, views, memo) for t in cols["text"]]}
+        return lambda cols: {"id": cols["id"], "mark": cols["mark"], "fps": [view_prints(t, view_words, views) for t in cols["text"]]}
 
     each = stored(map_rows(rows, prints, f"id {kind}, mark bigint, fps array<bigint>"), "views")
     nodes = stored(each.groupBy("mark").agg(F.min("id").alias("first"), F.first("fps").alias("fps"), F.count(F.lit(1)).alias("n")), "nodes")
@@ -468,8 +467,7 @@ def similar(
     pairs = stored(pairs.distinct(), "pairs")
 
     def sets():
-        memo = Hashes()
-        return lambda cols: {"mark": cols["mark"], "s": [np.unique(_shingles(t, words, memo)).view(np.int64) for t in cols["text"]]}
+        return lambda cols: {"mark": cols["mark"], "s": [np.unique(_shingles(t, words)).view(np.int64) for t in cols["text"]]}
 
     wanted = pairs.select(F.col("a").alias("mark")).unionByName(pairs.select(F.col("b").alias("mark"))).distinct()
     # of equal texts one row: the smallest identifier, the other rows of which are equal too
