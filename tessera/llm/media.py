@@ -19,7 +19,7 @@ import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tessera.llm.shared import map_rows
+from tessera.llm.shared import map_rows, stored
 
 UNKNOWN = "application/octet-stream"
 
@@ -301,11 +301,33 @@ def wav_samples(data: bytes, found: Found) -> bytes:
     return data[at : at + found.about["size"]]
 
 
+#: What a writer that knows nothing of its data says.
+DECLARED = "application/octet-stream"
+
+
+def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_bytes, declared, media``: each text as a media column, written to the shared
+    folder.  The padded bytes are 8-bit samples of a WAV; the declared type is the one of
+    unknown bytes, as stores often have it.  A null text is stored as 64 zeros; null
+    identifiers, repeated rows and an empty table pass through; other columns are not read."""
+
+    def rows():
+        def apply(cols):
+            made = [padded(t) for t in cols["text"]]
+            return {"id": cols["id"], "n_bytes": [n for _, n in made], "declared": [DECLARED] * len(made), "media": [as_wav(p) for p, _ in made]}
+
+        return apply
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    return stored(map_rows(picked, rows, f"id {kind}, n_bytes bigint, declared string, media binary"), "media", "zstd")
+
+
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """Store each text as a media column and read it back through the sniffer.
+    """Store each text as a media column (:func:`store_texts`) and read it back from there
+    through the sniffer, which finds and validates the WAV, corrects the declared type and
+    gives the samples' place, from which they are carved.
 
-    The padded bytes become 8-bit samples of a WAV whose declared type is unknown; the
-    sniffer finds and validates it, the type is corrected, and the samples are carved out.
     Returns ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature`` and, with ``with_media``, ``media`` itself.  A null text counts
     as empty and is stored as 64 zeros.  Equal texts give equal values; repeated rows and
@@ -316,32 +338,26 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sniffer = Sniffer()
 
         def apply(cols):
-            names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media")
-            out: dict[str, list] = {"id": cols["id"]} | {n: [] for n in names}
-            for text in cols["text"]:
-                payload, size = padded(text)
-                media = as_wav(payload)
+            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+            out: dict[str, list] = {"id": cols["id"], "n_bytes": cols["n_bytes"], "media": cols["media"]} | {n: [] for n in names}
+            for media, declared in zip(cols["media"], cols["declared"], strict=True):
                 found = sniffer.find(media)
                 whole = next(f for f in found if f.start == 0 and f.kind == "audio/wav")
                 back = wav_samples(media, whole)
                 wave = np.frombuffer(back, np.uint8)
                 inner = ",".join(f"{f.kind}@{f.start - whole.about['data']}+{f.length}" for f in found if f.start > 0)
-                shown = f"{corrected(None, found, len(media))};rate={whole.about['rate']};bits={whole.about['bits']};samples={len(back)}"
+                shown = f"{corrected(declared, found, len(media))};rate={whole.about['rate']};bits={whole.about['bits']};samples={len(back)}"
                 shown += f";peak={int(wave.max())};sum={int(wave.sum(dtype=np.int64))};embedded={inner or 'none'}"
-                for name, value in zip(
-                    names,
-                    (size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), shown, media),
-                    strict=True,
-                ):
-                    if name != "media" or with_media:
-                        out[name].append(value)
+                made = (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), shown)
+                for name, value in zip(names, made, strict=True):
+                    out[name].append(value)
             return out
 
         return apply
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    kept = store_texts(docs, id_col, text_col)
+    kind = kept.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     if with_media:
         schema += ", media binary"
-    picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return map_rows(picked, rows, schema).withColumnRenamed("id", id_col)
+    return map_rows(kept, rows, schema).withColumnRenamed("id", id_col)

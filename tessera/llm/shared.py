@@ -54,11 +54,11 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage is cut, and
     what it holds outlives any executor."""
     spark = df.sparkSession
-    df.write.parquet(path := folder(spark, name))
+    df.write.option("compression", codec).parquet(path := folder(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -556,6 +556,11 @@ def test_media(spark, docs, empty):
         payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and bytes(r.media)[44:] == payload and r.feature.startswith("audio/wav;")
+        wav = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+        assert (r.media_bytes, r.media_sha256) == (len(wav), hashlib.sha256(wav).hexdigest())
+        assert r.feature == f"audio/wav;rate=8000;bits=8;samples={len(payload)};peak={max(payload)};sum={sum(payload)};embedded=none"
+    held = media.sniff_media(media.store_texts(docs), "media", "id", "declared").collect()
+    assert len(held) == len(fixture_rows()) and all(r.declared == media.DECLARED and r.media_type == "audio/wav" and r.corrected for r in held)
     assert media.round_trip(empty).count() == 0
 
 
