@@ -325,8 +325,9 @@ def links(points: DataFrame, radius: int, views: int = 1, sample: int = 20_000,
 
 
 def _filled(held: list[np.ndarray], radius: int) -> Shard | None:
-    """A shard of the points that live in it, linked among themselves."""
-    return Shard(np.concatenate(held), radius) if held else None
+    """A shard of the points that live in it, linked among themselves.  They are sorted, so
+    that its links don't depend on the order in which points arrive."""
+    return Shard(np.sort(np.concatenate(held)), radius) if held else None
 
 
 def _runs(batches) -> Iterator[tuple[tuple[int, int, int], bool, np.ndarray]]:

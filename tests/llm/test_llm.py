@@ -258,6 +258,8 @@ def test_links_lose_no_component(spark, most):
     points = np.unique(np.concatenate([points, near, dense]))
     df = spark.createDataFrame([(0, int(p)) for p in points.view(np.int64)], "view int, fp long")
     found = {r.node: r.root for r in simhash.components(simhash.stored(simhash.links(df, 4, sample=500, depth=4, most=most), "edges")).collect()}
+    again = simhash.links(df.orderBy(F.rand(5)).repartition(7), 4, sample=500, depth=4, most=most)
+    assert set(map(tuple, again.collect())) == set(map(tuple, simhash.links(df, 4, sample=500, depth=4, most=most).collect()))
     want = brute_components([int(p) for p in points], 4)
     names = [found.get(int(p), int(p)) for p in points.view(np.int64)]
     pairs = {(a, b) for a, b in zip(want, names, strict=True)}
