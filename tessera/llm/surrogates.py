@@ -77,7 +77,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3\d{3}[ -]?\d{6}[ -]?\d{5})(?!\d)",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
-    "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?(?![A-Za-z0-9._%+-]{{0,64}}@)",  # a name that begins a mail address is the address's
 }
 OTHERS = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "person")
 ANY = f"{OTHERS}|(?:{PATTERNS['person']})"

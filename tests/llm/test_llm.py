@@ -655,6 +655,17 @@ def test_surrogates(spark, empty):
         surrogates.replace_entities(df, "")
 
 
+def test_surrogates_of_a_mail_address_behind_a_title(spark):
+    rows = [(1, "Contact Mr Smith@example.com now."), (2, "Ask Dr Anna.b@c.de or Dr Anna Berg."), (3, "Mr Otto Smith@example.com, Mr Smith")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.replace_entities(df, "key").collect()}
+    mail = re.fullmatch(r"Contact Mr ([A-Z][a-z]{4}@[a-z]{7}\.com) now\.", got[1].text)
+    other = re.fullmatch(r"Ask Dr ([A-Z][a-z]{3}\.[a-z]@[a-z]\.de) or Dr [A-Z][a-z]+ [A-Z][a-z]{3}\.", got[2].text)
+    assert mail and other and mail[1] != "Smith@example.com" and other[1] != "Anna.b@c.de"
+    assert re.fullmatch(rf"Mr [A-Z][a-z]+ {mail[1]}, Mr [A-Z][a-z]{{4}}", got[3].text) and "Otto" not in got[3].text
+    assert [got[i].n_entities for i in (1, 2, 3)] == [1, 2, 3]
+
+
 def luhn_digit(digits):
     return next(d for d in range(10) if luhn(digits + str(d)))
 
