@@ -471,9 +471,11 @@ def similar(
         return lambda cols: {"mark": cols["mark"], "s": [np.unique(_shingles(t, words)).view(np.int64) for t in cols["text"]]}
 
     wanted = pairs.select(F.col("a").alias("mark")).unionByName(pairs.select(F.col("b").alias("mark"))).distinct()
-    # of equal texts one row: the smallest identifier, the other rows of which are equal too
-    texts = rows.join(nodes.select("mark", F.col("first")).join(wanted, "mark"), "mark").filter(F.col("id").eqNullSafe(F.col("first")))
-    shingled = stored(map_rows(texts.select("mark", "text"), sets, "mark bigint, s array<bigint>").dropDuplicates(["mark"]), "sets")
+    # of equal texts one row: the smallest identifier, the other rows of which are equal too;
+    # joined by both, so that the copies of one text are not shuffled to one task
+    a, b = rows.alias("a"), nodes.select("mark", "first").join(wanted, "mark").alias("b")
+    texts = a.join(b, (F.col("a.mark") == F.col("b.mark")) & F.col("a.id").eqNullSafe(F.col("b.first"))).select("a.mark", "a.text")
+    shingled = stored(map_rows(texts, sets, "mark bigint, s array<bigint>").dropDuplicates(["mark"]), "sets")
     both = F.size(F.array_intersect("sa", "sb"))
     share = both / (F.size("sa") + F.size("sb") - both)
     fits = F.when((F.size("sa") == 0) & (F.size("sb") == 0), True).otherwise(F.coalesce(share >= least, F.lit(False)))

@@ -732,6 +732,8 @@ def test_surrogates_stay_distinct(spark):
 
 
 def test_pipeline_stages(spark):
+    import tiktoken
+
     import corpus_pipeline
 
     d = "/root/testdata/sf0.001"
@@ -742,15 +744,41 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns
         kept[name] = {r.doc_id for r in out.select("doc_id").collect()}
         assert kept[name] <= {r.doc_id for r in docs.select("doc_id").collect()}
+        if name == "language_id":
+            centroids = language.train(docs, F.expr("crc32(cast(cast(doc_id AS string) AS binary)) % 3 <> 1"))
+            for r in docs.collect():
+                if not any(map(str.isalpha, r.text or "")):
+                    assert r.doc_id not in kept[name]
+                    continue
+                bound = min(1.0, (len(language.letters(r.text)) / language.WHOLE) ** 0.5) * centroids.least
+                cosine = centroids.vectors @ centroids.vector([r.text])[0]
+                if abs(cosine - bound).min() > 1e-4:
+                    assert (r.doc_id in kept[name]) == bool((cosine >= bound).any())
         if name == "exact_dedup":
             want = {x[0] for x in brute_exact([(r.doc_id, r.text) for r in docs.collect()]) if x[0] == x[1]}
             assert kept[name] == want
         if name == "near_dedup":
             want = brute_similar([(r.doc_id, r.text) for r in docs.collect()])
             assert kept[name] == {a for a, b in want if a == b}
+        if name == "mixing":
+            mixture = mixing.train(docs, spark.read.parquet(f"{d}/labels.parquet"), "quality")
+            members = simhash.stored(mixing.membership(docs, mixture), "membership")
+            mixing.solve(members, mixture, {"0": 0.08, "1": 0.92})
+            assert mixture.residual < 1e-3
+            rates = members.select("id", mixture.rate(F.col("posterior")).alias("r"), F.pmod(F.xxhash64("id", "mark"), F.lit(1 << 30)).alias("u")).collect()
+            want = {x.id: n for x in rates if (n := int(x.r + x.u / (1 << 30)))}
+            assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == want
+            assert sum(want.values()) != len(rates)
         docs = out
     last = corpus_pipeline.STAGES[-1][1](spark, docs, d)
+    texts = {r.doc_id: r.text for r in docs.collect()}
     assert last.count() == docs.count()
+    with open(vocabulary(), "rb") as lines:
+        library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.load_ranks(lines), special_tokens={})
+    for r in last.collect():
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
 def test_registered_queries_on_the_smallest_tables(spark):
