@@ -19,7 +19,9 @@ logarithm of a component's size.
 
 :func:`deduplicate` asks for texts of a given Jaccard similarity of word shingles instead of
 a number of bits.  Candidates are links within the radius between fingerprints of short
-shingles under several seeds; each is then confirmed on the shingle sets themselves.
+shingles under several seeds; each is then confirmed on the shingle sets themselves.  No
+radius covers every such pair, and a spanning forest shows only some, so what fingerprints
+leave apart is completed from prefixes of the sets (:mod:`tessera.llm.overlap`).
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import overlap
 from tessera.llm.shared import drop_stored, join_counted, map_rows, ship, stored
 from tessera.llm.substring_dedup import mixed, rolled, word_hashes
 
@@ -432,9 +435,36 @@ def _salted_pairs(pairs: DataFrame, sets: DataFrame, parts: int = 256, salts: in
     return dealt.join(sets.select(F.col("mark").alias("a"), F.col("s").alias("sa")), "a").join(copies, ["b", "salt"])
 
 
+def _confirmed(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
+    """``a, b``: the pairs of marks whose shingle sets are similar, both empty ones included.
+    Whole sets are compared only if their parities leave it open."""
+
+    def sets():
+        return lambda cols: {"mark": cols["mark"], "s": [np.unique(_shingles(t, words)).view(np.int64) for t in cols["text"]]}
+
+    bits = nodes.select("mark", F.struct("size", "parity").alias("s"))
+    sides = [F.col(f"s{x}.{c}").alias(f"{c}_{x}") for c in ("size", "parity") for x in "ab"]
+    pairs = stored(overlap.close(_salted_pairs(pairs, bits).select("a", "b", *sides), least), "close")
+    wanted = pairs.select(F.col("a").alias("mark")).unionByName(pairs.select(F.col("b").alias("mark"))).distinct()
+    # of equal texts one row: the smallest identifier, the other rows of which are equal too;
+    # joined by both, so that the copies of one text are not shuffled to one task
+    wanted = stored(nodes.select("mark", "first").join(wanted, "mark"), "wanted")
+    a, b = rows.alias("a"), wanted.alias("b")
+    texts = a.join(b, (F.col("a.mark") == F.col("b.mark")) & F.col("a.id").eqNullSafe(F.col("b.first"))).select("a.mark", "a.text")
+    with overlap.small_batches(rows.sparkSession):
+        shingled = stored(map_rows(texts, sets, "mark bigint, s array<bigint>").dropDuplicates(["mark"]), "sets")
+    both = F.size(F.array_intersect("sa", "sb"))
+    share = both / (F.size("sa") + F.size("sb") - both)
+    fits = F.when((F.size("sa") == 0) & (F.size("sb") == 0), True).otherwise(F.coalesce(share >= least, F.lit(False)))
+    found = stored(_salted_pairs(pairs, shingled).filter(fits).select("a", "b"), "edges")
+    for used in (pairs, wanted, shingled):
+        drop_stored(used)
+    return found
+
+
 def similar(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8,
-    radius: int = 6, views: int = 6, view_words: int = 2, depth: int = 4,
+    radius: int = 6, views: int = 6, view_words: int = 2, depth: int = 4, block: int = 4_096,
 ) -> DataFrame:
     """``id, mark, keep_id``: for each row the smallest identifier of its group.
 
@@ -443,8 +473,10 @@ def similar(
     Candidates come from fingerprints of ``view_words``-word shingles under ``views`` seeds,
     within ``radius`` bits: shorter shingles and several seeds, since a fingerprint of
     ``words``-word shingles of similar texts is often farther off than any radius a tree
-    can prune.  Every candidate is confirmed on the sets; a link none of whose candidates
-    comes up in any view is missed (README has the measured share).
+    can prune.  Every candidate is confirmed on the sets.  Pairs that no view brings up, or
+    that a shard's forest shows only through a third text, come from the sets' prefixes: all
+    that share a member of both and are not of one group yet are compared, so that no link
+    is missed.  ``block`` is the size from which a prefix's file is dealt out to tasks.
 
     Texts without words are equal to each other; a text of fewer words is one shingle.
     Null identifiers count as the largest; repeated rows come out repeated; an empty table
@@ -452,34 +484,44 @@ def similar(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("mark"), docs[text_col].alias("text"))
+    order = overlap.order(rows, lambda text: np.unique(_shingles(text, words)))
 
     def prints():
-        return lambda cols: {"id": cols["id"], "mark": cols["mark"], "fps": [view_prints(t, view_words, views) for t in cols["text"]]}
+        def apply(cols):
+            sets = [np.unique(_shingles(t, words)) for t in cols["text"]]
+            fps = [view_prints(t, view_words, views) for t in cols["text"]]
+            first = [order.first(s, least).view(np.int64) for s in sets]
+            sizes, parities = [max(1, len(s)) for s in sets], [overlap.parity(s) for s in sets]
+            bits = [overlap.parity(s, overlap.SHORT) for s in sets]
+            return {"id": cols["id"], "mark": cols["mark"], "fps": fps, "size": sizes, "parity": parities, "bits": bits, "first": first}
 
-    each = stored(map_rows(rows, prints, f"id {kind}, mark bigint, fps array<bigint>"), "views")
-    nodes = stored(each.groupBy("mark").agg(F.min("id").alias("first"), F.first("fps").alias("fps"), F.count(F.lit(1)).alias("n")), "nodes")
+        return apply
+
+    with overlap.small_batches(docs.sparkSession):
+        each = stored(map_rows(rows, prints, f"id {kind}, mark bigint, fps array<bigint>, size int, parity binary, bits binary, first array<bigint>"), "views")
+    once = [F.first(c).alias(c) for c in ("fps", "size", "parity", "bits")]
+    nodes = stored(each.groupBy("mark").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), *once), "nodes")
     seen = stored(nodes.select("mark", F.posexplode("fps").alias("view", "fp")).withColumn("at", F.struct("view", "fp")), "seen")
     homes = stored(seen.groupBy("at").agg(F.min("mark").alias("home"), F.count(F.lit(1)).alias("n")), "homes")
     found = links(homes.select("at.view", "at.fp"), radius, views, depth=depth)
     ends = [homes.select(F.col("at.view").alias("view"), F.col("at.fp").alias(x), F.col("home").alias(f"h{x}")) for x in "ab"]
-    across = found.join(ends[0], ["view", "a"]).join(ends[1], ["view", "b"]).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    near = found.join(ends[0], ["view", "a"]).join(ends[1], ["view", "b"]).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
     within = join_counted(seen, homes, "at", "n").select(F.col("mark").alias("a"), F.col("home").alias("b"))
-    pairs = across.unionByName(within).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    files = stored(overlap.filed(each, least), "files")
+    beside = files.filter("next is not null").select(F.col("mark").alias("a"), F.col("next").alias("b"))
+    pairs = near.unionByName(within).unionByName(beside).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = stored(pairs.distinct(), "pairs")
-
-    def sets():
-        return lambda cols: {"mark": cols["mark"], "s": [np.unique(_shingles(t, words)).view(np.int64) for t in cols["text"]]}
-
-    wanted = pairs.select(F.col("a").alias("mark")).unionByName(pairs.select(F.col("b").alias("mark"))).distinct()
-    # of equal texts one row: the smallest identifier, the other rows of which are equal too;
-    # joined by both, so that the copies of one text are not shuffled to one task
-    a, b = rows.alias("a"), nodes.select("mark", "first").join(wanted, "mark").alias("b")
-    texts = a.join(b, (F.col("a.mark") == F.col("b.mark")) & F.col("a.id").eqNullSafe(F.col("b.first"))).select("a.mark", "a.text")
-    shingled = stored(map_rows(texts, sets, "mark bigint, s array<bigint>").dropDuplicates(["mark"]), "sets")
-    both = F.size(F.array_intersect("sa", "sb"))
-    share = both / (F.size("sa") + F.size("sb") - both)
-    fits = F.when((F.size("sa") == 0) & (F.size("sb") == 0), True).otherwise(F.coalesce(share >= least, F.lit(False)))
-    roots = components(stored(_salted_pairs(pairs, shingled).filter(fits).select("a", "b"), "edges"))
+    drop_stored(seen)
+    drop_stored(homes)
+    roots = components(_confirmed(pairs, rows, nodes, words, least))
+    # what is still apart: the files' other pairs, of texts of different groups
+    rooted = nodes.select("mark", "bits").join(roots.withColumnRenamed("node", "mark"), "mark", "left")
+    rooted = files.join(rooted.withColumn("root", F.coalesce("root", "mark")), "mark")
+    rest = stored(overlap.across(rooted, least, block).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    drop_stored(files)
+    more = _confirmed(rest, rows, nodes, words, least)
+    if not more.isEmpty():
+        roots = components(stored(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "edges"))
     linked = stored(nodes.select("mark", "first").join(roots.withColumnRenamed("node", "mark"), "mark"), "linked")
     lowest = linked.groupBy("root").agg(F.min("first").alias("least"))
     keep = stored(nodes.join(linked.join(lowest, "root").select("mark", "least"), "mark", "left").select("mark", "n", F.coalesce("least", "first").alias("keep_id")), "keep")

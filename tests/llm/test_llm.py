@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, language, licenses, media, mixing, simhash, substring_dedup, surrogates, toxicity
+from tessera.llm import bpe, exact_dedup, language, licenses, media, mixing, overlap, simhash, substring_dedup, surrogates, toxicity
 from tessera.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, kept boolean, score double"
@@ -321,6 +321,55 @@ def test_near_deduplicate(spark, docs, empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [4_096, 8])
+def test_near_deduplicate_loses_no_link(spark, empty, block):
+    """Short texts at 0.8 that are far apart in every view, chains that pass through texts
+    which are not similar, a phrase that all share, and texts without words beside them."""
+    rnd = random.Random(9)
+    rows = [(1000, None), (1001, ""), (1002, " \n")]
+    for i in range(120):
+        words = "all of these texts start with this phrase".split()[: 8 * (i % 2)] + prose(rnd.randint(12, 30), 500 + i).split()
+        for j in range(rnd.randint(2, 4)):  # each a few words on from the one before
+            rows.append((4 * i + j, " ".join(words)))
+            words = [*words[rnd.randint(0, 1) :], f"end{i}"] if rnd.random() < 0.7 else [*words[:-1], f"last{i}{j}"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.id, r.keep_id) for r in simhash.similar(df, block=block).collect()), key=repr)
+    assert got == brute_similar(rows)
+    assert simhash.similar(empty, block=block).count() == 0
+
+
+@pytest.mark.parametrize("block", [4_096, 5])
+def test_prefixes_give_all_similar_pairs(spark, block):
+    rnd = random.Random(4)
+    common = [rnd.getrandbits(64) for _ in range(6)]
+    sets = {}
+    for _ in range(60):
+        base = [rnd.getrandbits(64) for _ in range(rnd.randint(1, 40))] + common[: rnd.randint(0, 6)]
+        for _ in range(3):
+            own = set(base) - set(rnd.sample(base, rnd.randint(0, len(base) // 6))) | {rnd.getrandbits(64) for _ in range(rnd.randint(0, 2))}
+            sets[len(sets)] = np.array(sorted(own), np.uint64)
+    for _ in range(2):
+        sets[len(sets)] = np.zeros(0, np.uint64)
+    want, roots = set(), {i: i // 7 for i in sets}
+    for a in sets:
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                want.add((a, b))
+    assert len(want) > 40
+    order = overlap.Order(np.array(common, np.uint64))
+    rows = [(i, max(1, len(s)), order.first(s, 0.8).view(np.int64).tolist()) for i, s in sets.items()]
+    files = overlap.filed(spark.createDataFrame(rows + rows[:9], "mark long, size int, first array<long>").repartition(3), 0.8)
+    bits = spark.createDataFrame([(i, bytearray(overlap.parity(s, overlap.SHORT))) for i, s in sets.items()], "mark long, bits binary")
+    files = files.join(bits, "mark")
+    found = files.withColumn("root", F.col("mark"))
+    assert want <= set(map(tuple, overlap.across(found, 0.8, block).collect()))
+    found = files.withColumn("root", F.floor(F.col("mark") / 7))
+    apart = set(map(tuple, overlap.across(found, 0.8, block).collect()))
+    assert all(overlap.apart(overlap.parity(x), overlap.parity(y)) <= len(np.setxor1d(x, y)) for x in sets.values() for y in list(sets.values())[:20])
+    assert {(a, b) for a, b in want if roots[a] != roots[b]} <= apart and all(roots[a] != roots[b] for a, b in apart)
+
+
 def test_licenses(docs, empty, spark):
     texts = ["Licensed under CC BY-NC 4.0. cc by", "This work is licensed under the GNU General Public License, version 3.", "x " * 200 + "ALL rights Reserved " + "y " * 100, "general public", None, ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
