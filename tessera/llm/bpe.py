@@ -25,7 +25,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.shared import map_rows
+from tessera.llm.shared import kept, map_rows
 
 #: Splits text before merging (a published pattern; fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -310,18 +310,17 @@ class Decoder:
         yield machine.end()
 
 
-_CODECS: dict[tuple, tuple[Encoder, Decoder]] = {}
-
-
 def codec(path: str, pattern: str = PATTERN, max_pieces: int = 200_000, max_states: int = 200_000) -> tuple[Encoder, Decoder]:
-    """The encoder and decoder of a rank file, kept for the life of a Python worker."""
-    key = path, pattern, max_pieces, max_states
-    if key not in _CODECS:
+    """The encoder and decoder of a rank file, kept for a Python worker's next tasks of this
+    operator."""
+
+    def make():
         gc.set_threshold(200_000, 50, 100)  # the tables hold no cycles; seldom look for any
         with open(path, "rb") as lines:
             ranks = load_ranks(lines)
-        _CODECS[key] = Encoder(ranks, pattern, max_pieces, max_states), Decoder(ranks)
-    return _CODECS[key]
+        return Encoder(ranks, pattern, max_pieces, max_states), Decoder(ranks)
+
+    return kept((path, pattern, max_pieces, max_states), make)
 
 
 def encode_documents(

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_KEPT: dict[tuple, object] = {}
+_USED: set[tuple] = set()
 
 
 def scratch(spark: SparkSession) -> str:
@@ -116,6 +118,25 @@ def pieces(batch: pa.RecordBatch, rows: int, most: int) -> Iterator[pa.RecordBat
     yield from pieces(batch.slice(n // 2), rows, most)
 
 
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in a Python worker for its next tasks; :func:`lean` drops
+    it as soon as a task doesn't ask for it."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    _USED.add(key)
+    return _KEPT[key]
+
+
+def lean(rows: Callable[[], Callable]) -> Callable:
+    """``rows()``, after which the worker keeps only what was asked for in it.  Workers are
+    used again by later operators, beside whose memory the tables of earlier ones stay."""
+    _USED.clear()
+    apply = rows()
+    for key in _KEPT.keys() - _USED:
+        del _KEPT[key]
+    return apply
+
+
 def map_rows(
     df: DataFrame,
     rows: Callable[[], Callable[[dict[str, list]], dict[str, list]]],
@@ -134,11 +155,12 @@ def map_rows(
     target = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = rows()
+        apply = lean(rows)
         for batch in batches:
             for part in pieces(batch, chunk, most):
                 out = apply({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in target], schema=target)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on small tables with nulls, empty and long
 texts, ties, repeated rows and columns of clashing names."""
 
+import gc
 import hashlib
 import random
 import re
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, language, licenses, media, mixing, overlap, simhash, substring_dedup, surrogates, toxicity
+from tessera.llm import bpe, exact_dedup, language, licenses, media, mixing, overlap, shared, simhash, substring_dedup, surrogates, toxicity
 from tessera.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, kept boolean, score double"
@@ -78,6 +79,21 @@ def test_bpe_equals_library(spark, docs, empty):
         assert encoder.encode(text) == library.encode_ordinary(text)
 
 
+def test_workers_drop_the_tables_of_earlier_operators(spark, docs):
+    """A codec serves a worker's next tasks and goes with the first task of another operator."""
+    path = vocabulary()
+    assert shared.lean(lambda: bpe.codec(path)) is shared.lean(lambda: bpe.codec(path))
+    shared.lean(dict)
+    assert not shared._KEPT
+
+    def rows():
+        return lambda cols: {"n": [sum(isinstance(o, bpe.Encoder) for o in gc.get_objects())] * len(cols["text"])}
+
+    bpe.encode_documents(docs.repartition(4), path).collect()
+    held = shared.map_rows(docs.select("text").repartition(4), rows, "n int").collect()
+    assert [r.n for r in held] == [0] * docs.count()
+
+
 def test_utf8_machine_in_any_portions():
     rnd = random.Random(5)
     for _ in range(3000):
