@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import map_rows, pieces, settings, ship, stored
+from tessera.llm.shared import map_rows, pieces, settings, ship, spare, stored
 from tessera.llm.substring_dedup import mixed
 
 SHORT = 512  # bits of parity beside each row of a file
@@ -156,6 +156,7 @@ def filed(sets: DataFrame, least: float) -> DataFrame:
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             columns = [lists.flatten(), np.repeat(mark, n), np.repeat(part.column(1).to_numpy()[once], n), place.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, row, strict=True)], schema=row)
+        spare()
 
     def search(batches):
         for member, mark, size, place in _files(batches):
@@ -171,6 +172,7 @@ def filed(sets: DataFrame, least: float) -> DataFrame:
             after = pa.array(np.concatenate([mark[1:], mark[-1:]]), pa.int64(), mask=~follows)
             columns = [pa.array(c) for c in (member, mark, size, place)]
             yield pa.RecordBatch.from_arrays([*columns, after], schema=out).filter(pa.array(several))
+        spare()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = sets.select("mark", "size", "first").mapInArrow(send, "member bigint, mark bigint, size int, place int")
@@ -256,6 +258,7 @@ def across(rows: DataFrame, least: float, block: int = 4_096) -> DataFrame:
                     for right in blocks[i + 1 :]:
                         if left[-1, 1] >= least * right[0, 1] - _SLACK:  # its largest, their smallest
                             yield cell(left, right)
+        spare()
 
     wide = 4 + SHORT // 64
 
@@ -267,6 +270,7 @@ def across(rows: DataFrame, least: float, block: int = 4_096) -> DataFrame:
                     yield from gathered(_pairs(np.zeros(len(one), np.int64), *one[:, :4].T, one[:, 4:], least))
                 else:
                     yield from gathered(_cross(one, np.frombuffer(right, np.int64).reshape(-1, wide), least))
+        spare()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("member", "mark", "size", "place", "root", "bits").repartition(n, "member").sortWithinPartitions("member")

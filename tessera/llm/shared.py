@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -132,11 +133,21 @@ def lean(rows: Callable[[], Callable]) -> Callable:
     used again by later operators, beside whose memory the tables of earlier ones stay."""
     _USED.clear()
     apply = rows()
-    for key in _KEPT.keys() - _USED:
-        del _KEPT[key]
+    if others := _KEPT.keys() - _USED:
+        for key in others:
+            del _KEPT[key]
+        spare()
     return apply
 
 
+def spare() -> None:
+    """Give memory that is free in a Python worker, which may idle from now on, back to the
+    system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(
     df: DataFrame,
     rows: Callable[[], Callable[[dict[str, list]], dict[str, list]]],
@@ -160,7 +171,7 @@ def map_rows(
             for part in pieces(batch, chunk, most):
                 out = apply({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in target], schema=target)
-        pa.default_memory_pool().release_unused()
+        spare()
 
     return df.mapInArrow(run, schema)
 

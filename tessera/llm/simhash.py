@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import overlap
-from tessera.llm.shared import drop_stored, join_counted, map_rows, ship, stored
+from tessera.llm.shared import drop_stored, join_counted, map_rows, ship, spare, stored
 from tessera.llm.substring_dedup import mixed, rolled, word_hashes
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -296,6 +296,7 @@ def links(points: DataFrame, radius: int, views: int = 1, sample: int = 20_000,
                         for visit, values in ((False, at[here]), (True, at if dealt[leaf] > 1 else at[~here])):
                             if len(values):
                                 yield sent(view, leaf, p, visit, values)
+        spare()
 
     edge = pa.schema([("view", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
@@ -320,6 +321,7 @@ def links(points: DataFrame, radius: int, views: int = 1, sample: int = 20_000,
         shard = shard or _filled(held, radius)
         if shard is not None:
             yield edges(key[0], *shard.forest())
+        spare()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ("view", "shard", "part")
