@@ -7,10 +7,12 @@ the given order.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, GroupedData, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.ordered import sort_keys
 from tessera.operators.project import as_column
@@ -124,10 +126,28 @@ class Grouped:
         at = Window.partitionBy(*self.keys).orderBy(*by)
         return self.df.withColumn("__n", F.row_number().over(at)).filter(F.col("__n") <= n).drop("__n")
 
-    def apply(self, fn: Callable, schema: str | None = None) -> DataFrame:
-        """Rows made from each group by a function of a pandas frame; a group must fit
-        in one task.  Prefer :meth:`top` or :meth:`transform` where they will do."""
-        return self._grouped().applyInPandas(fn, schema or self.df.schema)
+    def apply(self, fn: Callable, schema: str | T.StructType | None = None, order=None) -> DataFrame:
+        """Rows made from each group by a function of a pandas frame, in the given order;
+        a group must fit in one task.  Prefer :meth:`top` or :meth:`transform` where they will do.
+
+        Frames are those of ``applyInPandas``, which spends more on handing over a small
+        group than most functions spend on it; here whole batches are handed over.  It still
+        serves nested columns and functions of key or iterator, which take no order."""
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema or self.df.schema
+        if not _in_batches(fn, self.df.schema):
+            if order is not None:
+                raise ValueError("an order needs flat columns and a function of a frame alone")
+            return self._grouped().applyInPandas(fn, schema)
+        at = Window.partitionBy(*self.keys).orderBy(*([F.lit(1)] if order is None else sort_keys(order)))
+        first = F.row_number().over(at) == 1
+        kinds = [f.dataType for f in self.df.schema]
+        # in pandas, an integer or boolean column with nulls is of another type: over a whole
+        # batch, the nulls of one group would round the large integers of the others
+        gaps = [i for i, k in enumerate(kinds) if isinstance(k, (T.IntegralType, T.BooleanType))]
+        rows = self.df.select("*", first).toDF(*(f"c{i}" for i in range(len(kinds))), "first")
+        given = [F.coalesce(f"c{i}", F.lit(0).cast(k)).alias(f"c{i}") if i in gaps else F.col(f"c{i}") for i, k in enumerate(kinds)]
+        marks = [F.col(f"c{i}").isNull().alias(f"n{i}") for i in gaps]
+        return rows.select(*given, *marks, "first").mapInPandas(_per_group(fn, self.df.columns, gaps, len(schema)), schema)
 
     def get(self, *values) -> DataFrame:
         """The rows of one group; none for a key that isn't there."""
@@ -143,6 +163,74 @@ class Grouped:
             yield key, self.get(*key)
 
 
+def _in_batches(fn: Callable, schema: T.StructType) -> bool:
+    """Whether the function takes a frame alone, and no column is converted with regard to
+    other rows (nested ones are: by the nulls in them)."""
+    spec = inspect.getfullargspec(fn)
+    flat = not any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.UserDefinedType, T.VariantType)) for f in schema)
+    return flat and len(spec.args) == 1 and "Iterator" not in repr(spec.annotations)
+
+
+def _per_group(fn: Callable, names: Sequence[str], gaps: Sequence[int], width: int, rows: int = 10_000) -> Callable:
+    """The function on each group of a partition whose groups follow each other.  A batch has
+    the columns, a mark of nulls for each of the gaps, and whether a row is its group's first."""
+
+    def whole(batches):
+        """Frames of whole groups, with the places where these begin."""
+        import numpy as np
+        import pandas as pd
+
+        open_ = []  # parts of a group that may go on
+        for batch in batches:
+            at = np.flatnonzero(batch.iloc[:, -1].to_numpy())
+            if not len(at):
+                open_.append(batch)
+                continue
+            if at[0]:
+                open_.append(batch.iloc[: at[0]])
+            if open_:
+                yield pd.concat(open_, ignore_index=True), np.array([0])
+            if len(at) > 1:
+                yield batch.iloc[at[0] : at[-1]], at[:-1] - at[0]
+            open_ = [batch.iloc[at[-1] :]]
+        if open_:
+            yield pd.concat(open_, ignore_index=True), np.array([0])
+
+    def results(batches):
+        import numpy as np
+
+        for frame, at in whole(batches):
+            holes = [frame.iloc[:, len(names) + j].to_numpy() for j in range(len(gaps))]
+            holed = [np.logical_or.reduceat(h, at) for h in holes]
+            any_holed = np.logical_or.reduce(holed) if holed else np.zeros(len(at), bool)
+            given = frame.iloc[:, : len(names)].set_axis(names, axis=1)
+            for g, (a, b) in enumerate(zip(at, [*at[1:], len(frame)], strict=True)):
+                group = given.iloc[a:b].reset_index(drop=True)
+                for j in (j for j in range(len(gaps)) if any_holed[g] and holed[j][g]):
+                    column = group.iloc[:, gaps[j]]
+                    kind, null = (object, None) if column.dtype == bool else (float, np.nan)
+                    column = column.astype(kind)
+                    column[holes[j][a:b]] = null
+                    group.isetitem(gaps[j], column)
+                yield fn(group)
+
+    def run(batches):
+        import pandas as pd
+
+        kept, n = {}, 0  # frames by names and types, as putting together must not change these
+        for frame in results(batches):
+            if not isinstance(frame, pd.DataFrame) or len(frame.columns) > width:
+                raise TypeError(f"the function has to give a pandas frame of {width} columns, not {frame!r}")
+            kept.setdefault((*frame.columns, *frame.dtypes), []).append(frame)
+            n += max(1, len(frame))
+            if n >= rows:
+                yield from (pd.concat(f, ignore_index=True) for f in kept.values())
+                kept, n = {}, 0
+        yield from (pd.concat(f, ignore_index=True) for f in kept.values())
+
+    return run
+
+
 def group_by(df: DataFrame, *keys: str | Column) -> Grouped:
     return Grouped(df, *keys)
 

@@ -108,7 +108,7 @@ def row_at(spark, d):
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 2")
 def grp_apply(spark, d):
     rows = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    kept = agg.group_by(rows, "o_custkey").apply(lambda g: g.sort_values(["o_totalprice", "o_orderkey"], ascending=[False, True]).head(2))
+    kept = agg.group_by(rows, "o_custkey").apply(lambda g: g.head(2), order=[c("o_totalprice").desc_nulls_last(), c("o_orderkey").asc_nulls_last()])
     return kept.select("o_custkey", "o_orderkey")
 
 

@@ -170,6 +170,51 @@ def test_aggregate(people, spark):
     assert agg.stats(people, "age").first() == (5, 150, 25, 30.0, 35)
 
 
+def test_apply_hands_over_many_groups_at_once(spark, capsys):
+    """Groups are those of applyInPandas, types too, but not handed over one by one."""
+    big = 2**60
+    rows = [(i, i % 40 or None, None if i % 7 == 0 else big + i, None if i % 11 == 0 else i % 2 == 0, float(i % 3), f"s{i}") for i in range(400)]
+    rows += [(i, 99, big + i, True, -0.0, None) for i in range(400, 430)]
+    df = spark.createDataFrame(rows, "pos int, k int, big bigint, flag boolean, f double, s string")
+
+    def seen(g):
+        import pandas as pd
+
+        g = g.sort_values("pos")
+        cells = [[(type(v).__name__, str(v)) for v in g[c]] for c in g.columns]
+        return pd.DataFrame({"seen": [f"{[str(t) for t in g.dtypes]} {sorted(g.index)} {cells}"]})
+
+    def mixed(g):
+        g = g.sort_values("pos")
+        return g.head(g.pos.iloc[0] % 3)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    try:
+        for fn, kind in ((seen, "seen string"), (mixed, df.schema), (lambda g: g, df.schema)):
+            for keys in (("k",), ("f",), ("k", F.col("pos") % 2)):
+                assert values(agg.group_by(df, *keys).apply(fn, kind), "*") == values(df.groupBy(*keys).applyInPandas(fn, kind), "*")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    agg.group_by(df, "k").apply(mixed).explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
+    with pytest.raises(PySparkException, match="pandas frame of 6 columns"):
+        agg.group_by(df, "k").apply(lambda g: g.assign(more=1)).collect()
+    nested = df.select("k", F.array("big").alias("a"))
+    assert agg.group_by(nested, "k").apply(lambda g: g.head(1)).count() == 41
+    assert agg.group_by(df, "k").apply(lambda key, g: g.head(1)).count() == 41
+
+
+def test_apply_in_order(spark):
+    rows = [(i, i % 5, float(i * 37 % 100), i * 53 % 301) for i in range(300)] + [(300, 0, None, 1), (301, 0, float("nan"), None), (302, 6, None, None), (303, 6, None, 4), (304, 6, 1.0, None), (305, 7, 5.0, 9), (306, 7, 5.0, 2)]
+    df = spark.createDataFrame(rows, "pos int, k int, v double, w int").repartition(7)
+    order = [F.col("v").desc_nulls_last(), F.col("w").asc_nulls_last()]
+    first = agg.group_by(df, "k").apply(lambda g: g.head(2)[["pos", "k"]], "pos int, k int", order)
+    assert values(first, "pos", "k") == values(agg.group_by(df, "k").top(2, *order), "pos", "k")
+    assert {(301, 0), (304, 6), (303, 6), (305, 7), (306, 7)} <= set(values(first, "pos", "k"))
+    with pytest.raises(ValueError):
+        agg.group_by(df, "k").apply(lambda key, g: g, order="pos")
+
+
 def test_sort_and_sample(people):
     assert [r.name for r in sorting.tail(people, 2, "pos").collect()] == ["Diana", "Eve"]
     assert sorting.slice_rows(people, -3, 2, "pos").count() == 2 and sorting.slice_rows(people, 4, 99, "pos").count() == 1
